@@ -15,7 +15,7 @@ BLOCK_WORDS = 256
 SHARDS = 16
 SEED = 20240229
 #: Blocks of one source that are ranked together in a task, about.
-RANKED = 100_000
+RANKED = 4_000
 #: Rows of per-source or per-bucket tables that may be broadcast.
 FEW = 100_000
 #: Above this standard deviation a draw's inverse distribution is the normal's, below it is summed up exactly.

@@ -11,9 +11,11 @@ import public_tokenizers
 from .chat import CHAT_SQL, chat_report
 from .common import table
 from .embeddings import linked
+from .licenses import license_report
 from .mixing import mix_report
 from .quality import quality_report
 from .secrets import report
+from .sentencepiece import piece_report
 from .simhash import simhash_report
 from .tokens import token_report
 from .toxicity import toxicity_report
@@ -48,11 +50,19 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_QUERIES = (op1_secret_scans, op2_simhash_near_dedup, op3_toxicity, op4_chat_formatting, op5_source_mixing, op6_quality_rules, op7_embedding_near_dedup, op9_token_files)
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_secret_scans, op2_simhash_near_dedup, op3_toxicity, op4_chat_formatting, op5_source_mixing, op6_quality_rules, op7_embedding_near_dedup, op8_sentencepiece, op9_token_files, op10_license_scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
