@@ -182,7 +182,7 @@ def formatted(turns: DataFrame, *keep: str, template: Template = CHATML) -> Data
     conversation's output is its segments in order; none is ever gathered, so a conversation may be of any length. A
     line break in a role is escaped as well."""
     rows = turns.select(*keep, F.posexplode("turns").alias("number", "t"))
-    role = F.regexp_replace(escaped(F.col("t.role")), "\n", "\\\\\\\\\n")
+    role = F.replace(escaped(F.col("t.role")), F.lit("\n"), F.lit("\\\n"))
     rows = rows.select(*keep, "number", F.col("t.role").alias("role"), role.alias("r"), escaped(F.col("t.text")).alias("x"))
     head = F.concat(F.lit(template.opening), "r", F.lit(template.between))
     return rows.select(*keep, "number", F.concat(head, "x", F.lit(template.closing)).alias("segment"), F.char_length(head).alias("loss_from"), F.when(F.col("role") == "assistant", F.char_length("x")).otherwise(0).alias("loss_length"))
