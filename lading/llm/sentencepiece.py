@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ UNITS = f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n"
 COMMON = 50_000
 #: Longest unit in the lattice: its places must fit a long.
 LONGEST = 60
-#: Units that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Units that a worker process remembers, from task to task, before it starts anew.
+REMEMBERED = 600_000
 #: Tokens of an output batch, about.
 BATCH = 1_000_000
 
@@ -159,15 +160,28 @@ class Encoder:
         return np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(sent: tuple) -> Encoder:
+    """The encoder of a _sent() result: a worker process keeps the last one from task to task."""
+    name, broadcast = sent
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(*broadcast.value)
+    return _ENCODERS[name]
+
+
 def decode(model: Model, ids) -> str:
     """The text of ids: pieces and bytes put together, the mark in front dropped."""
     out = b"".join(map(model.table.__getitem__, ids))
     return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-def _sent(docs: DataFrame, path: str):
+def _sent(docs: DataFrame, path: str) -> tuple:
+    """A name of its own, and the broadcast model and common units: both of bounded size."""
     model = load(path)
-    return docs.sparkSession.sparkContext.broadcast((model, common_units(docs, model)))
+    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model, common_units(docs, model)))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -179,7 +193,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(*sent.value)
+        encode = _encoder(sent)
         for batch in batches:
             texts, at = batch.column("text"), 0
             while at < batch.num_rows:
@@ -219,8 +233,8 @@ def piece_report(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        model, common = sent.value
-        encode = Encoder(model, common)
+        encode = _encoder(sent)
+        model = encode.model
         for batch in batches:
             n, crc, sha = [], [], []
             for text in batch.column("text"):

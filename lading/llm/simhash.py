@@ -223,9 +223,10 @@ def celled(rows: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, each at most `threshold` apart, that join just what all such links
-    join: every candidate is verified, then what a task finds is reduced to a forest, so a dense group of m
-    fingerprints gives about m links a cell, not m * m."""
+    """Pairs (a, b) of distinct fingerprints that join just what the links of at most `threshold` bits join.
+
+    Every candidate is verified, then what a task finds is reduced to a forest of each fingerprint and the first of its
+    component, so a dense group of m fingerprints gives about m pairs a cell, not m * m."""
     plan = make_plan(fps, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
