@@ -6,8 +6,12 @@ import hashlib
 import hmac
 import struct
 import zlib
+from contextvars import ContextVar
 from functools import cache
 
+#: Bytes that one content may have at most.
+LIMIT: ContextVar[int] = ContextVar("LIMIT", default=1 << 31)
+
 
 class Damaged(ValueError):
     """The bytes can't be decoded."""
@@ -21,6 +25,19 @@ class WrongPassword(ValueError):
     """No password, or not the right one."""
 
 
+class TooLarge(ValueError):
+    """More than LIMIT bytes come out."""
+
+
+def expand(decompressor, data: bytes) -> bytes:
+    """What a decompressor of the standard library makes of data, if it is within the limit."""
+    most = LIMIT.get()
+    out = decompressor.decompress(data, most + 1)
+    if len(out) > most:
+        raise TooLarge("too many bytes come out")
+    return out
+
+
 # Checksums
 
 
@@ -350,6 +367,8 @@ def squeeze(data: bytes) -> bytes:
 def lzss(literals, size: int, out: bytearray) -> bytes:
     """Literals and (distance, length) matches until size bytes; matches may reach before the start, to what out held."""
     start = len(out)
+    if size > LIMIT.get():
+        raise TooLarge("too many bytes come out")
     while len(out) - start < size:
         got = literals()
         if isinstance(got, int):
@@ -433,7 +452,7 @@ def larc_lzs(data: bytes, size: int) -> bytes:
 def inflate(data: bytes) -> bytes:
     d = zlib.decompressobj(-15)
     try:
-        return d.decompress(data) + d.flush()
+        return expand(d, data) + d.flush()
     except zlib.error as e:
         raise Damaged(str(e)) from e
 
@@ -446,7 +465,7 @@ def ms_zip(blocks: list[bytes]) -> bytes:
             raise Damaged("not an MSZIP block")
         d = zlib.decompressobj(-15, zdict=bytes(out[-32768:])) if out else zlib.decompressobj(-15)
         try:
-            out += d.decompress(b[2:]) + d.flush()
+            out += expand(d, b[2:]) + d.flush()
         except zlib.error as e:
             raise Damaged(str(e)) from e
     return bytes(out)

@@ -7,7 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ...functions.kernels import Bits, Damaged, Unsupported, crc16, inflate, larc_lzs, lzh_static, ms_zip, rle90, squeeze, unix_compress
+from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, expand, inflate, larc_lzs, lzh_static, ms_zip, rle90, squeeze, unix_compress
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, dos_time, unix_time
 
@@ -142,6 +142,8 @@ def zoo(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
             raise Corrupt("no header")
         if not after:
             return
+        if after <= at:
+            raise Corrupt("headers go back")
         title = src.need(at + 38, 13).split(b"\0")[0]
         if src.need(at + 4, 1)[0] >= 2:
             n, m = src.need(at + 56, 2)
@@ -278,7 +280,7 @@ def alzip(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                 if method == 0:
                     return data
                 if method == 1:
-                    return bz2.decompress(data)
+                    return expand(bz2.BZ2Decompressor(), data)
                 if method == 2:
                     return inflate(data)
                 raise Unsupported("ALZip method 3")
@@ -394,7 +396,12 @@ def rar5(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
 def nds(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
     names_at, _, table_at, _ = src.get("<IIII", 0x40)
 
+    seen: set[int] = set()
+
     def walk(folder: int, above: bytes, depth: int) -> Iterator[Entry]:
+        if folder in seen:
+            return
+        seen.add(folder)
         place, number = src.get("<IH", names_at + 8 * (folder & 0xFFF))
         at = names_at + place
         while (n := src.need(at, 1)[0]) and depth < 64:
@@ -444,18 +451,20 @@ def cfbf(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
     minor = whole(int.from_bytes(nodes[0][116:120], "little"))
     small_links = [v for (v,) in struct.iter_unpack("<I", whole(small_at))] if small_at < 0xFFFFFFFA else []
 
-    def walk(k: int, above: str, seen: frozenset[int]) -> Iterator[Entry]:
+    seen: set[int] = set()
+
+    def walk(k: int, above: str) -> Iterator[Entry]:
         if k >= len(nodes) or k in seen:
             return
         d = nodes[k]
         left, right, child = struct.unpack_from("<III", d, 68)
-        seen = seen | {k}
-        yield from walk(left, above, seen)
+        seen.add(k)
+        yield from walk(left, above)
         title = d[: max(0, int.from_bytes(d[64:66], "little") - 2)].decode("utf-16-le", "replace")
         path = f"{above}/{title}" if above else title
         if d[66] == 1:
             yield Entry(path, directory=True)
-            yield from walk(child, path, seen)
+            yield from walk(child, path)
         elif d[66] == 2:
             start, size = int.from_bytes(d[116:120], "little"), int.from_bytes(d[120:124], "little")
 
@@ -465,9 +474,9 @@ def cfbf(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                 return b"".join(minor[s * small : (s + 1) * small] for s in chain(start, small_links))[:size]
 
             yield Entry(path, size, size, "None", decode=decode)
-        yield from walk(right, above, seen)
+        yield from walk(right, above)
 
-    yield from walk(int.from_bytes(nodes[0][76:80], "little"), "", frozenset())
+    yield from walk(int.from_bytes(nodes[0][76:80], "little"), "")
 
 
 def ppmd(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
@@ -487,6 +496,8 @@ def powerpacker(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         bits = Bits(body[::-1], low_first=True)
         bits.read(skip)
         one = lambda k: int("".join(str(bits.read(1)) for _ in range(k)) or "0", 2)
+        if size > LIMIT.get():
+            raise TooLarge("too many bytes come out")
         out = bytearray(size)
         at = size
         while at:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from ...functions.kernels import Bits, Damaged, Unsupported, crc16, crc16_ccitt, rle90, unix_compress
+from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, crc16_ccitt, rle90, unix_compress
 from ..source import Source
 from .entry import Corrupt, Entry, mac_time
 
@@ -109,6 +109,8 @@ def _huffman(data: bytes) -> tuple[bytes, int]:
         return bits.read(8) if bits.read(1) else (tree(), tree())
 
     root, out, want = tree(), bytearray(), 94
+    if not isinstance(root, tuple):
+        raise Damaged("a tree of one leaf")
     while len(out) < want:
         node = root
         while isinstance(node, tuple):
@@ -175,6 +177,10 @@ def _tree_coded(data: bytes, size: int) -> bytes:
         root, out = tree(), bytearray()
     except RecursionError as e:
         raise Damaged("tree too deep") from e
+    if size > LIMIT.get():
+        raise TooLarge("too many bytes come out")
+    if not isinstance(root, tuple):
+        return bytes([root]) * size
     while len(out) < size:
         node = root
         while isinstance(node, tuple):

@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from ...functions.kernels import Damaged, Unsupported, WrongPassword, aes_cbc, inflate
+from ...functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, WrongPassword, aes_cbc, expand, inflate
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, file_time
 
@@ -166,6 +166,8 @@ def _unpacked(src: Source, base: int, f: Folder, password: bytes | None) -> byte
 
     def run(ident: bytes, props: bytes, inputs: list[bytes], size: int) -> bytes:
         data = inputs[0]
+        if size > LIMIT.get():
+            raise TooLarge("too many bytes come out")
         try:
             if ident == b"\0":
                 return data
@@ -183,7 +185,7 @@ def _unpacked(src: Source, base: int, f: Folder, password: bytes | None) -> byte
             if ident == b"\4\1\x08":
                 return inflate(data)
             if ident == b"\4\2\2":
-                return bz2.decompress(data)
+                return expand(bz2.BZ2Decompressor(), data)
             if ident == b"\6\xf1\7\1":
                 if password is None:
                     raise WrongPassword("a password is needed")

@@ -9,7 +9,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ...functions.kernels import Damaged, byte_sum, rle90, squeeze, unix_compress
+from ...functions.kernels import LIMIT, Damaged, TooLarge, byte_sum, expand, rle90, squeeze, unix_compress
 from ..source import Source
 from .entry import Entry, unix_time
 
@@ -45,12 +45,14 @@ def _members(data: bytes) -> bytes:
         at += 2 if flags & 2 else 0
         d = zlib.decompressobj(-15)
         try:
-            part = d.decompress(data[at:]) + d.flush()
+            part = expand(d, data[at:]) + d.flush()
         except zlib.error as e:
             raise Damaged(str(e)) from e
         if not d.eof or len(d.unused_data) < 8 or zlib.crc32(part) != int.from_bytes(d.unused_data[:4], "little"):
             raise Damaged("checksum differs")
         out += part
+        if len(out) > LIMIT.get():
+            raise TooLarge("too many bytes come out")
         data = d.unused_data[8:]
     return bytes(out)
 
@@ -80,7 +82,7 @@ def _all(open_one, error):
         try:
             while data:
                 d = open_one()
-                out += d.decompress(data)
+                out += expand(d, data)
                 if not d.eof:
                     raise Damaged("data end too soon")
                 data = d.unused_data.lstrip(b"\0") if open_one is lzma.LZMADecompressor else d.unused_data

@@ -44,6 +44,8 @@ def parse(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         if _number(h[148:156]) not in (sum(plain), sum(b - 256 if b > 127 else b for b in plain)):
             raise Corrupt("header checksum differs")
         size, kind = _number(h[124:136]), h[156:157]
+        if size < 0:
+            raise Corrupt("size below zero")
         body, blocks = at + 512, (size + 511) // 512 * 512
         if kind in (b"g", b"x", b"L", b"K"):
             data = src.need(body, size)

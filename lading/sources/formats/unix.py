@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from xml.etree import ElementTree
 
-from ...functions.kernels import Bits, Damaged, Unsupported, byte_sum
+from ...functions.kernels import Bits, Damaged, Unsupported, byte_sum, expand
 from ..source import Source
 from .entry import Corrupt, Entry, unix_time
 
@@ -107,7 +107,7 @@ def rpm(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
 def xar(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
     head, _, packed, _ = src.get(">HHQQ", 4)
     try:
-        root = ElementTree.fromstring(zlib.decompress(src.need(head, packed)))
+        root = ElementTree.fromstring(expand(zlib.decompressobj(), src.need(head, packed)))
     except (zlib.error, ElementTree.ParseError) as e:
         raise Corrupt(str(e)) from e
     heap = head + packed
@@ -144,7 +144,7 @@ def xar(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                 def decode(_, offset=offset, length=length, style=style) -> bytes:
                     raw = src.need(offset, length)
                     try:
-                        return {"application/x-gzip": zlib.decompress, "application/x-bzip2": bz2.decompress, "application/x-lzma": lzma.decompress, "application/x-xz": lzma.decompress, "application/octet-stream": bytes}[style](raw)
+                        return raw if style == "application/octet-stream" else expand({"application/x-gzip": zlib.decompressobj, "application/x-bzip2": bz2.BZ2Decompressor, "application/x-lzma": lzma.LZMADecompressor, "application/x-xz": lzma.LZMADecompressor}[style](), raw)
                     except KeyError as x:
                         raise Unsupported(style) from x
                     except (zlib.error, OSError, lzma.LZMAError) as x:
@@ -206,7 +206,7 @@ def nsa(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                         put = (put + 1) % 256
                 return bytes(out[:size])
             if kind == 4:
-                return bz2.decompress(data[4:])
+                return expand(bz2.BZ2Decompressor(), data[4:])
             raise Unsupported(f"method {kind}")
 
         yield Entry(raw, size, packed, {0: "None", 1: "SPB", 2: "LZSS", 4: "Bzip2"}.get(kind, f"Method {kind}"), offset=start + offset, separators="\\", decode=decode)
@@ -314,7 +314,12 @@ def iso(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         except ValueError:
             return None
 
+    seen: set[int] = set()
+
     def walk(place: int, size: int, above: str, depth: int) -> Iterator[Entry]:
+        if place in seen:
+            return
+        seen.add(place)
         data, at = block(place, size), 0
         while at < len(data):
             n = data[at]

@@ -7,7 +7,7 @@ import lzma
 import struct
 from collections.abc import Iterator
 
-from ...functions.kernels import Damaged, Unsupported, WrongPassword, inflate, zip_aes, zip_cipher
+from ...functions.kernels import Damaged, Unsupported, WrongPassword, expand, inflate, zip_aes, zip_cipher
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, dos_time, file_time, unix_time
 
@@ -23,9 +23,9 @@ def _inflated(method: int, data: bytes, size: int) -> bytes:
         if method == 8:
             return inflate(data)
         if method == 12:
-            return bz2.decompress(data)
+            return expand(bz2.BZ2Decompressor(), data)
         if method == 95:
-            return lzma.decompress(data)
+            return expand(lzma.LZMADecompressor(), data)
         if method == 14:
             n = struct.unpack_from("<H", data, 2)[0]
             props = data[4 : 4 + n]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Damaged, Unsupported, WrongPassword
+from ..functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, WrongPassword
 from .detect import HEADER, detect
 from .formats.entry import Corrupt, Entry, text
 from .source import Slice, Source
@@ -40,7 +40,8 @@ ENTRIES = (
 @dataclass(frozen=True)
 class Options:
     """content: fill that column. test: read each entry and tell how it went in status. depth: levels of archives in
-    archives that are opened instead of listed. most_bytes: larger contents aren't read (status too_large)."""
+    archives that are opened instead of listed. most_bytes: larger contents aren't read (status too_large), also if their
+    size shows only while they are. most_entries: an archive with more ends there (archive_status too_many)."""
 
     content: bool = False
     test: bool = False
@@ -48,6 +49,7 @@ class Options:
     password: str | None = None
     encoding: str | None = None
     most_bytes: int = 1 << 30
+    most_entries: int = 5_000_000
 
 
 def _parser(name: str):
@@ -62,13 +64,16 @@ def _verdict(e: Entry, options: Options) -> tuple[str | None, bytes | None]:
         return "unsupported", None
     if (e.size or 0) > options.most_bytes:
         return "too_large", None
+    LIMIT.set(options.most_bytes)
     try:
         data = e.decode(options.password.encode() if options.password is not None else None)
+    except TooLarge:
+        return "too_large", None
     except WrongPassword:
         return "password", None
     except Unsupported:
         return "unsupported", None
-    except (Damaged, Corrupt, ValueError, IndexError, OverflowError, EOFError, OSError):
+    except (Damaged, Corrupt, ValueError, IndexError, KeyError, TypeError, OverflowError, EOFError, OSError, RecursionError):
         return "damaged", None
     if e.corrupted:
         return "damaged", data
@@ -119,9 +124,12 @@ def rows_of(src: Source, archive: str, options: Options, level: int = 0) -> Iter
         except Unsupported:
             status = "unsupported"
             break
-        except (Corrupt, Damaged, ValueError, IndexError, KeyError, OverflowError, UnicodeError, TypeError, RecursionError):
+        except (Corrupt, Damaged, ValueError, IndexError, KeyError, OverflowError, UnicodeError, TypeError, RecursionError, OSError, EOFError):
             status = "damaged"
             break
+        if idx >= options.most_entries:
+            status = "too_many"
+            break
         row = _row(e, archive, form.name, level, idx, options)
         data = None
         inner = bool(e.archive) and level < options.depth

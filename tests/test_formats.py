@@ -8,6 +8,8 @@ import tarfile
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lading.sources.detect import FORMATS, detect
 from lading.sources.formats.dos import vint
@@ -158,3 +160,27 @@ def test_passwords(tmp_path):
     data = (tmp_path / "o.zip").read_bytes()
     assert rows(data, "o.zip", Options(content=True, password="pass"))[0]["content"] == b"secret text " * 9
     assert [rows(data, "o.zip", Options(content=True, password=p))[0]["status"] for p in (None, "wrong")] == ["password", "password"]
+
+
+HEADS = [b"PK\3\4", b"PK\5\6", b"Rar!\x1a\7\0", b"Rar!\x1a\7\1\0", b"7z\xbc\xaf\x27\x1c", b"\x1f\x8b\x08", b"BZh91AY&SY", b"SIT!\0\0\0\0\0\0rLau", b"(This file must be converted with BinHex 4.0)\n\n:", b"\0\5\x16\0", b"PMag", b"PMa4", b"\x8f\xaf\xac\x84", b"xar!\0\x1c\0\1", b"\x1f\x9d\x90", b"\xed\xab\xee\xdb", b"\xfd7zXZ\0", b"ALZ\1\0\0\0\0BLZ\1", b"MSCF\0\0\0\0", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"\x20\x20-lh5-", b"\x20\x20-lh0-", b"PP20", b"!<arch>\n", b"WARC/1.0\r\n", b"\x60\xea", b"\x1a\x02NAME.TXT\0", b"\x76\xff", b"\0" + b" " * 11 + b"\0\0\1\0", b"\x5d\0\0\x80\0", b"070701", b"\xc7\x71", bytes(0x14) + b"\xdc\xa7\xc4\xfd"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(HEADS), st.binary(max_size=400), st.sampled_from(["x", "arc1.nsa", "arc.sar", "x.001", "x.tar"]))
+def test_noise_never_raises(head, tail, name):
+    assert rows(head + tail, name, Options(content=True, test=True, depth=1, most_entries=500))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 5), st.integers(0, 10**6), st.integers(1, 255))
+def test_damage_never_raises(which, at, flip):
+    data = bytearray([zipped(), gzip.compress(zipped()), bz2.compress(b"x" * 99), lzma.compress(b"x" * 99), lzma.compress(b"y" * 99, lzma.FORMAT_ALONE), zipped(more="z" * 3000)][which])
+    data[at % len(data)] ^= flip
+    assert rows(bytes(data), "x", Options(content=True, test=True, depth=2))
+
+
+def test_bombs():
+    data = gzip.compress(bytes(5_000_000))
+    (row,) = rows(data, "x.gz", Options(content=True, most_bytes=1_000_000))
+    assert (row["status"], row["content"]) == ("too_large", None)
+    assert rows(zipped(), "x.zip", Options(most_entries=2))[-1]["archive_status"] == "too_many"
