@@ -469,3 +469,122 @@ def ms_zip(blocks: list[bytes]) -> bytes:
         except zlib.error as e:
             raise Damaged(str(e)) from e
     return bytes(out)
+
+
+#: The order in which deflate tells the lengths of its code of lengths.
+_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
+
+
+def inflate64(data: bytes) -> bytes:
+    """Deflate64: a window of 64 KiB, two more distances, and sixteen more bits for the longest length."""
+    bits, out, most = Bits(data, low_first=True), bytearray(), LIMIT.get()
+    lengths_of, far_of = [], []
+    base = 3
+    for i in range(28):
+        extra = max(0, i // 4 - 1)
+        lengths_of.append((base, extra))
+        base += 1 << extra
+    lengths_of.append((3, 16))
+    base = 1
+    for i in range(32):
+        extra = max(0, i // 2 - 1)
+        far_of.append((base, extra))
+        base += 1 << extra
+    while True:
+        last, kind = bits.read(1), bits.read(2)
+        if kind == 0:
+            bits.read(bits.n % 8)
+            n = bits.read(16)
+            bits.read(16)
+            out += bytes(bits.read(8) for _ in range(n))
+        elif kind == 3:
+            raise Damaged("no such block")
+        else:
+            if kind == 1:
+                main, far = Prefix([8] * 144 + [9] * 112 + [7] * 24 + [8] * 8), Prefix([5] * 32)
+            else:
+                n, m, k = bits.read(5) + 257, bits.read(5) + 1, bits.read(4) + 4
+                own = [0] * 19
+                for place in _ORDER[:k]:
+                    own[place] = bits.read(3)
+                code, sizes = Prefix(own), []
+                while len(sizes) < n + m:
+                    c = code.next(bits)
+                    if c < 16:
+                        sizes.append(c)
+                    elif c == 16:
+                        if not sizes:
+                            raise Damaged("nothing to repeat")
+                        sizes += sizes[-1:] * (bits.read(2) + 3)
+                    else:
+                        sizes += [0] * (bits.read(3) + 3 if c == 17 else bits.read(7) + 11)
+                main, far = Prefix(sizes[:n]), Prefix(sizes[n : n + m])
+            while (symbol := main.next(bits)) != 256:
+                if symbol < 256:
+                    out.append(symbol)
+                    continue
+                if symbol > 285:
+                    raise Damaged("no such length")
+                start, extra = lengths_of[symbol - 257]
+                n = start + bits.read(extra)
+                start, extra = far_of[far.next(bits)]
+                at = len(out) - start - bits.read(extra)
+                if at < 0:
+                    raise Damaged("before the start")
+                for i in range(n):
+                    out.append(out[at + i])
+                if len(out) > most:
+                    raise TooLarge("too many bytes come out")
+        if last:
+            return bytes(out)
+
+
+def lzw(data: bytes, most: int = 13) -> bytes:
+    """LZW of Zoo: codes from nine bits on, the least significant bit first; 256 starts anew, 257 ends."""
+    bits, out = Bits(data, low_first=True), bytearray()
+    table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
+    width, last = 9, b""
+    while True:
+        code = bits.read(width)
+        if code == 257:
+            return bytes(out)
+        if code == 256:
+            del table[258:]
+            width, last = 9, b""
+            continue
+        if code < len(table):
+            word = table[code]
+        elif code == len(table) and last:
+            word = last + last[:1]
+        else:
+            raise Damaged("code out of range")
+        out += word
+        if last and len(table) < 1 << most:
+            table.append(last + word[:1])
+            if len(table) >= 1 << width and width < most:
+                width += 1
+        last = word
+        if len(out) > LIMIT.get():
+            raise TooLarge("too many bytes come out")
+
+
+def larc_lz5(data: bytes, size: int) -> bytes:
+    """-lz5-: eight flags, then literals and places in a 4 KiB ring that starts with runs, ramps, zeros and blanks."""
+    ring = bytearray(b"".join(bytes([i]) * 13 for i in range(256)) + bytes(range(256)) + bytes(range(255, -1, -1)) + bytes(128) + b" " * 128)
+    at, out, i, flags, left = 4096 - 18, bytearray(), 0, 0, 0
+    while len(out) < size:
+        if not left:
+            flags, left, i = data[i], 8, i + 1
+        literal, flags, left = flags & 1, flags >> 1, left - 1
+        if literal:
+            got, i = [data[i]], i + 1
+            place = None
+        else:
+            place, n, i = data[i] | (data[i + 1] & 0xF0) << 4, (data[i + 1] & 15) + 3, i + 2
+            got = range(n)
+        for k in got:
+            b = k if place is None else ring[(place + k) % 4096]
+            out.append(b)
+            ring[at] = b
+            at = (at + 1) % 4096
+    return bytes(out[:size])

@@ -7,7 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, expand, inflate, larc_lzs, lzh_static, ms_zip, rle90, squeeze, unix_compress
+from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, expand, inflate, larc_lz5, larc_lzs, lzh_static, lzw, ms_zip, rle90, squeeze, unix_compress
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, dos_time, unix_time
 
@@ -86,6 +86,8 @@ def lha(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                     return lzh_static(data, size, {b"-lh4-": 12, b"-lh5-": 13, b"-lh6-": 15, b"-lh7-": 16}[method])
                 if method == b"-lzs-":
                     return larc_lzs(data, size)
+                if method == b"-lz5-":
+                    return larc_lz5(data, size)
                 raise Unsupported(method.decode("latin-1"))
 
             e.decode, e.check = decode, lambda d, crc=crc: crc16(d) == crc
@@ -155,9 +157,11 @@ def zoo(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                 data = src.need(body, packed)
                 if method == 0:
                     return data
+                if method == 1:
+                    return lzw(data)
                 if method == 2:
                     return lzh_static(data, size, 13)
-                raise Unsupported("Zoo LZW")
+                raise Unsupported(f"Zoo method {method}")
 
             yield Entry(title, size, packed, {0: "None", 1: "LZW", 2: "LZH"}.get(method, f"Method {method}"), modified=dos_time(day << 16 | clock), offset=body, decode=decode, check=lambda d, crc=crc: crc16(d) == crc)
         at = after

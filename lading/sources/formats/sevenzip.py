@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from ...functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, WrongPassword, aes_cbc, expand, inflate
+from ...functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, WrongPassword, aes_cbc, expand, inflate, inflate64
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, file_time
 
@@ -184,6 +184,8 @@ def _unpacked(src: Source, base: int, f: Folder, password: bytes | None) -> byte
                 return lzma.decompress(whole, lzma.FORMAT_RAW, filters=[spec, {"id": lzma.FILTER_LZMA2, "preset": 0}])
             if ident == b"\4\1\x08":
                 return inflate(data)
+            if ident == b"\4\1\x09":
+                return inflate64(data)
             if ident == b"\4\2\2":
                 return expand(bz2.BZ2Decompressor(), data)
             if ident == b"\6\xf1\7\1":

@@ -7,7 +7,7 @@ import lzma
 import struct
 from collections.abc import Iterator
 
-from ...functions.kernels import Damaged, Unsupported, WrongPassword, expand, inflate, zip_aes, zip_cipher
+from ...functions.kernels import Damaged, Unsupported, WrongPassword, expand, inflate, inflate64, zip_aes, zip_cipher
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, dos_time, file_time, unix_time
 
@@ -22,6 +22,8 @@ def _inflated(method: int, data: bytes, size: int) -> bytes:
             return data
         if method == 8:
             return inflate(data)
+        if method == 9:
+            return inflate64(data)
         if method == 12:
             return expand(bz2.BZ2Decompressor(), data)
         if method == 95:

@@ -73,3 +73,56 @@ def _compressed(data: bytes, most: int = 12) -> bytes:
 @given(st.binary(max_size=3000))
 def test_unix_compress(data):
     assert K.unix_compress(_compressed(data)) == data
+
+
+def _lzw(data: bytes, most: int = 13) -> bytes:
+    table, width, bits, word, nxt = {bytes([i]): i for i in range(256)}, 9, [], b"", 258
+
+    def put(code):
+        bits.extend(code >> i & 1 for i in range(width))
+
+    known = 258
+    for k, b in enumerate(data):
+        if (more := word + bytes([b])) in table:
+            word = more
+            continue
+        put(table[word])
+        if nxt < 1 << most:
+            table[more] = nxt
+            nxt += 1
+        known = nxt - 1
+        if known >= 1 << width and width < most:
+            width += 1
+        word = bytes([b])
+    if word:
+        put(table[word])
+        if nxt >= 1 << width and nxt < (1 << most) + 1 and width < most:
+            width += 1
+    put(257)
+    bits.extend([0] * 16)
+    return bytes(sum(bits[i + k] << k for k in range(8)) for i in range(0, len(bits) - 7, 8))
+
+
+@given(st.binary(max_size=200), st.integers(0, 9))
+def test_zoo_lzw(data, times):
+    data = data * times
+    assert K.lzw(_lzw(data)) == data
+
+
+@given(st.binary(max_size=60), st.integers(1, 4))
+def test_deflate64_reads_what_deflate_has_in_common(data, times):
+    d = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert K.inflate64(d.compress(data * times) + d.flush()) == data * times
+
+
+def test_deflate64_stored_and_fixed():
+    for strategy, level in ((zlib.Z_DEFAULT_STRATEGY, 0), (zlib.Z_FIXED, 6)):
+        d = zlib.compressobj(level, zlib.DEFLATED, -15, 8, strategy)
+        assert K.inflate64(d.compress(b"some text, some more text" * 4) + d.flush()) == b"some text, some more text" * 4
+
+
+def test_lz5():
+    assert K.larc_lz5(bytes([0b111]) + b"abc", 3) == b"abc"
+    # the ring's run of 'A' (13 times from 65 * 13), then what was just written
+    place = 65 * 13
+    assert K.larc_lz5(bytes([0b00, place & 255, (place >> 4 & 0xF0) | 2, (4096 - 18) & 255, ((4096 - 18) >> 4 & 0xF0) | 0]), 8) == b"AAAAAAAA"
