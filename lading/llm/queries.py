@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from .chat import CHAT_SQL, chat_report
+from .chat import chat_report
 from .common import table
 from .embeddings import linked
 from .licenses import license_report
 from .mixing import mix_report
+from .oracles import SQL
 from .quality import quality_report
 from .secrets import report
 from .sentencepiece import piece_report
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": CHAT_SQL}
+    return dict(SQL)
