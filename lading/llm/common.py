@@ -19,6 +19,10 @@ def words_sql(text: str) -> str:
     return f"array_remove(split(coalesce({text}, ''), r'{GAP}'), '')"
 
 
+#: Folders that this process named; release() deletes them.
+_MADE: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
             base = f"file://{base}"
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/lading-{uuid.uuid4().hex}"
+    _MADE.append(path := f"{base.rstrip('/')}/lading-{uuid.uuid4().hex}")
+    return path
 
 
 def settle(df: DataFrame, at: str | None = None) -> DataFrame:
@@ -68,3 +73,9 @@ def with_small(df: DataFrame, rows: int) -> DataFrame:
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where lambdas use it again and again."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders that operators wrote so far; call it once their results are stored elsewhere."""
+    while _MADE:
+        discard(spark, _MADE.pop())
