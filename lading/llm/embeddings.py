@@ -18,11 +18,11 @@ from .runs import forest, whole_groups
 #: The index is fitted on so many vectors at most, those of the smallest hash; every vector is indexed.
 SAMPLE = 20_000
 #: Vectors a list, about, and the most lists; both bound what the driver and each task hold of the index.
-LIST_ROWS, MOST_LISTS = 128, 4096
+LIST_ROWS, MOST_LISTS = 256, 4096
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 #: How much of the way to a neighbour may lie straight across a list's border: 1 finds every neighbour for certain;
-#: in d dimensions the share is about 1 / sqrt(d), so 0.5 leaves out one in ten thousand at 64.
-REACH = 0.5
+#: in d dimensions the share's deviation is 1 / sqrt(d), so at 64 this leaves out one crossing in 400.
+REACH = 0.35
 #: Rows of a list that meet in one cell; larger lists are cut into blocks.
 CELL = 4096
 PAIRS = 2_000_000
