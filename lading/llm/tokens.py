@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ MAGIC = b"LADDAC1\n"
 RANKED = 512
 #: Tokens in one file at most, but for a longer document, which stays whole.
 FILE_TOKENS = 16_000_000
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker process remembers, from task to task, before it starts anew.
+REMEMBERED = 800_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -79,6 +80,11 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
 
+@cache
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def pack(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> bytes:
     """One file for documents that start at `starts` (one more than there are documents) in ids."""
     levels, rest = [], ids.astype(np.uint32)
@@ -162,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
     URI that all executors reach. An empty or null text has just the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
