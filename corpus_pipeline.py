@@ -12,10 +12,10 @@ from lading.llm.mixing import mixed
 from lading.llm.quality import quality_filter
 from lading.llm.secrets import redact
 from lading.llm.sentencepiece import encoded
-from lading.llm.simhash import one_of_each
+from lading.llm.similar import one_of_each
 
-#: Words of a shingle, and the differing bits up to which two of 64-bit fingerprints are near duplicates here.
-SHINGLE_WORDS, BITS_APART = 5, 7
+#: Words of a shingle, and the Jaccard similarity of two sets of shingles from which documents are near duplicates.
+SHINGLE_WORDS, SIMILAR = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates."""
-    return one_of_each(docs, SHINGLE_WORDS, BITS_APART)
+    return one_of_each(docs, SHINGLE_WORDS, SIMILAR)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("secret scans", secrets),
     ("source mixing", mixing),
     ("SentencePiece encoding", pieces),

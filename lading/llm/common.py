@@ -75,6 +75,12 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def made_since(spark: SparkSession, path: str) -> None:
+    """Delete the folders that were named after path was."""
+    while _MADE[-1] != path:
+        discard(spark, _MADE.pop())
+
+
 def release(spark: SparkSession) -> None:
     """Delete all folders that operators wrote so far; call it once their results are stored elsewhere."""
     while _MADE:

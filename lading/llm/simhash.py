@@ -276,14 +276,20 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return clustered(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (one of the rows that repeat it).
+def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one document of each component of groups (doc_id, component_id): the one with the smallest doc_id (one
+    of the rows that repeat it).
 
     Only ids are compared and dropped; the kept texts are picked by a join on the id. A row with a null doc_id can't be
     named by its component and stays."""
-    groups = settle(clustered(docs, words, threshold))
+    groups = settle(groups)
     keep = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     if not keep.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
+    """docs with the document of the smallest doc_id of each component."""
+    return one_each(docs, clustered(docs, words, threshold))
