@@ -13,11 +13,12 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
-#: Weak kinds in their order, after the base ones. Each run of characters is tried from its start only.
+#: Weak kinds in their order, after the base ones. Each run of characters is tried from its start only; a name may follow
+#: an underscore, as in DB_HOST, and a bare key an equals sign.
 WEAK = {
-    "endpoint": r"""(?i)\b(?:https?|ftp|sftp|ssh|mongodb|postgres(?:ql)?|mysql|redis|amqp)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9])|\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?""",
-    "ident": r"""(?i)\b(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+""",
-    "weak_secret": r"""(?i)\b(?:pwd|pass|passphrase|auth|credential|private_?key|access_?key)s?["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[g-zG-Z+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])""",
+    "endpoint": r"""(?i)(?<![A-Za-z0-9])(?:https?|ftp|sftp|ssh|mongodb|postgres(?:ql)?|mysql|redis|amqp)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9])|(?<![A-Za-z0-9])(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?""",
+    "ident": r"""(?i)(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+""",
+    "weak_secret": r"""(?i)(?<![A-Za-z0-9])(?:pwd|pass|passphrase|auth|credential|private_?key|access_?key)s?["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[g-zG-Z+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])""",
 }
 ORDER = [*BASE, *WEAK]
 #: What part of a credential a kind is, and which parts complete it.
