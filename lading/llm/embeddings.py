@@ -222,22 +222,25 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 
     Vectors link if their cosine, in double precision, is at least `cosine`. Equal vectors are one node with a weight,
     so a large group of copies costs one row. Vectors that are null, zero or hold null or non-finite components link
-    with nothing, nor do those whose length isn't the commonest one (ties: the least). Repeated rows count as vectors
-    of their own; an empty table gives no rows; other columns are ignored. Found pairs are exact; of all pairs the
-    search finds what REACH promises."""
+    with nothing. Vectors of each length are fitted and searched by themselves. Repeated rows count as vectors of their
+    own; an empty table gives no rows; other columns are ignored. Found pairs are exact; of all pairs the search finds
+    what REACH promises."""
     marked = settle(keyed(vectors))
-    lengths = marked.where("dim > 0").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    alone = lambda rows: rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return alone(marked)
-    fits = F.col("dim") == lengths[0]["dim"]
-    nodes = settle(marked.where(fits).groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("raw").alias("raw")).withColumn("node", F.monotonically_increasing_id()))
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    out = marked.where("dim = 0").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for (dim,) in marked.where("dim > 0").select("dim").distinct().orderBy("dim").collect():
+        out = out.unionByName(_of_length(marked.where(F.col("dim") == dim), kind, cosine))
+    return out
+
+
+def _of_length(marked: DataFrame, kind: type, cosine: float) -> DataFrame:
+    """linked() of the rows of keyed() with vectors of one length."""
+    nodes = settle(marked.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("raw").alias("raw")).withColumn("node", F.monotonically_increasing_id()))
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("raw").collect()]
     found = settle(searched(nodes, fit(sample, nodes.count(), kind), cosine))
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     joined = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     rooted = nodes.drop("raw").join(counts, "node", "left").join(joined, "node", "left").select("key", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     named = rooted.join(rooted.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("key", "n_links", "component_id")
-    rows = marked.where(fits).select("vec_id", "key").join(named, "key")
-    return rows.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")).unionByName(alone(marked.where(~fits)))
+    rows = marked.select("vec_id", "key").join(named, "key")
+    return rows.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

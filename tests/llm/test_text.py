@@ -263,6 +263,17 @@ def test_embeddings(spark, sf_dir):
     assert embeddings.linked(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_each_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(100 * d + i, v.tolist()) for d in (3, 8, 16) for i, v in enumerate(np.repeat(rng.normal(size=(d, d)), 3, axis=0))] + [(9, [1.0]), (8, [0.0])]
+    got = {r.vec_id: r for r in embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == len(rows)
+    for i, v in rows:
+        same = [j for j, w in rows if len(v) == len(w) and any(v) and any(w) and np.dot(v, w) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert got[i].n_links == max(0, len(same) - 1)
+        assert got[i].component_id <= min([*same, i])
+
+
 def test_embeddings_in_small_cells(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL", 16)
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
