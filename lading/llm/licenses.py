@@ -83,6 +83,7 @@ class Templates:
         if any(not len(h) for h in self.hashes):
             raise ValueError(f"a template needs {WORDS} words")
         self.exact = [{b" ".join(t[i : i + WORDS]) for i in range(len(t) - WORDS + 1)} for t in self.texts]
+        self.known = np.unique(np.concatenate(self.hashes))
         self.longest = [len(t) - WORDS + 1 for t in self.texts]
         self.scales = {}
         for t, n in enumerate(self.longest):
@@ -130,8 +131,39 @@ class Templates:
         return found
 
 
+    def spread(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, template, shingles' places) where a whole text, however long, holds enough of a template's shingles."""
+        hit = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h)
+        text = np.searchsorted(ends, hit, side="right")
+        inside = hit + WORDS <= ends[np.minimum(text, len(ends) - 1)]
+        hit, text = hit[inside], text[inside]
+        cuts = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = h[hit[lo:hi]]
+            some = np.unique(own)
+            for t, hashes in enumerate(self.hashes):
+                if len(some) >= CONTAINED * len(hashes) and np.isin(hashes, some).mean() >= CONTAINED:
+                    yield int(text[lo]), t, hit[lo:hi][np.isin(own, hashes)]
+
+
+def shortest(places: list[int], held: list[bytes]) -> tuple[int, int]:
+    """The first and last place of the shortest run of places that holds every shingle held, the first of equals."""
+    need, counts, lo, best = len(set(held)), {}, 0, (places[0], places[-1])
+    for hi, x in enumerate(held):
+        counts[x] = counts.get(x, 0) + 1
+        while counts[held[lo]] > 1:
+            counts[held[lo]] -= 1
+            lo += 1
+        if len(counts) == need and places[hi] - places[lo] < best[1] - best[0]:
+            best = places[lo], places[hi]
+    return best
+
+
 def matches(texts: list[str], templates: Templates) -> list[list[tuple[str, float, int, int]]]:
-    """For each whole text its licenses: (name, containment, first word, word after) of the best place of each."""
+    """For each whole text its licenses: (name, containment, first word, word after) of the best place of each.
+
+    A place is a window; if none holds enough, as when a passage was inserted, it is the shortest run of words with all
+    of the template's shingles that the whole text has."""
     out: list[dict] = [{} for _ in texts]
     at, found = 0, [words(t) for t in texts]
     while at < len(found):
@@ -154,6 +186,14 @@ def matches(texts: list[str], templates: Templates) -> list[list[tuple[str, floa
                     one = (share, begin - places[0], places[0] - begin, places[-1] + WORDS - begin)
                     name = templates.names[t]
                     out[at + d][name] = max(out[at + d].get(name, one), one)
+        for d, t, hit in templates.spread(h, ends) if len(h) else ():
+            name, places = templates.names[t], [i for i in hit.tolist() if b" ".join(flat[i : i + WORDS]) in templates.exact[t]]
+            held = [b" ".join(flat[i : i + WORDS]) for i in places]
+            share = len(set(held)) / len(templates.exact[t])
+            if share >= CONTAINED and name not in out[at + d]:
+                begin = int(ends[d - 1]) if d else 0
+                first, last = shortest(places, held)
+                out[at + d][name] = (share, begin - first, first - begin, last + WORDS - begin)
         at = to
     return [[(name, v[0], v[2], v[3]) for name, v in sorted(o.items())] for o in out]
 

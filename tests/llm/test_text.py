@@ -244,6 +244,22 @@ def test_licenses(spark):
     assert licenses.license_report(docs(spark, [])).count() == 0
 
 
+def test_licenses_with_inserted_passages():
+    known = licenses.Templates(licenses.TEMPLATES)
+    for t, (name, notice) in enumerate(licenses.TEMPLATES):
+        words = notice.split()
+        for gap in (30, 400, 5000):
+            half = len(words) // 2
+            text = " ".join(["start", *words[:half], *(f"x{i}" for i in range(gap)), *words[half:], "end"])
+            own = licenses.words(text)
+            own = {b" ".join(own[k : k + 5]) for k in range(len(own) - 4)}
+            share = len(own & known.exact[t]) / len(known.exact[t])
+            found = [{m[0]: m for m in ms} for ms in licenses.matches(["", text, "tail"], known)]
+            assert not found[0] and not found[2] and (name in found[1]) == (share >= licenses.CONTAINED)
+            if gap == 5000 and name in found[1] and found[1][name][1] == share:
+                assert found[1][name][2:] == (1, len(licenses.words(notice)) + gap + 1)
+
+
 def test_embeddings(spark, sf_dir):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     rng = np.random.default_rng(9)
