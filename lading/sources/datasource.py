@@ -24,7 +24,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         flag = lambda k: str(options.get(k, "false")).lower() == "true"
         self.uri = options["path"]
-        self.options = Options(flag("content"), flag("test"), int(options.get("depth", 0)), options.get("password"), options.get("encoding"), int(options.get("most_bytes", options.get("mostBytes", 1 << 30))))
+        self.options = Options(flag("content"), flag("test"), int(options.get("depth", 0)), options.get("password"), options.get("encoding"), int(options.get("most_bytes", options.get("mostBytes", 1 << 30))), int(options.get("most_entries", options.get("mostEntries", 5_000_000))))
         self.names = [f.split()[0] for f in ENTRIES.split(", ")]
 
     def _fs(self):

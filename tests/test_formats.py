@@ -184,3 +184,11 @@ def test_bombs():
     (row,) = rows(data, "x.gz", Options(content=True, most_bytes=1_000_000))
     assert (row["status"], row["content"]) == ("too_large", None)
     assert rows(zipped(), "x.zip", Options(most_entries=2))[-1]["archive_status"] == "too_many"
+
+
+def test_data_source_takes_both_limits():
+    from lading.sources.datasource import _Reader
+
+    options = _Reader({"path": "/x", "most_bytes": "10", "most_entries": "6000000"}).options
+    assert (options.most_bytes, options.most_entries) == (10, 6_000_000)
+    assert _Reader({"path": "/x"}).options == Options()
