@@ -70,6 +70,23 @@ def with_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: A key with more rows is hot, and so many keys may be.
+HOT_ROWS, HOT_KEYS = 1_000, 1_000_000
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has a row for each value of key, however many rows of left share one.
+
+    Keys with over HOT_ROWS rows of left are joined by broadcast, so their rows stay where they are; there are HOT_KEYS of
+    them at most, since with more rows than HOT_ROWS * HOT_KEYS a hot key has more. Both should be cheap to read."""
+    least = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = settle(left.groupBy(key).count().where(F.col("count") > least).select(key).join(right, key))
+    if hot.isEmpty():
+        return left.join(right, key)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return cold.unionByName(left.join(F.broadcast(hot), key))
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where lambdas use it again and again."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -296,3 +296,27 @@ def test_embeddings_in_small_cells(spark, sf_dir, monkeypatch):
     small = sorted(map(tuple, embeddings.linked(table).collect()))
     monkeypatch.undo()
     assert small == sorted(map(tuple, embeddings.linked(table).collect()))
+
+
+@pytest.mark.parametrize(("dim", "kind"), [(4, "float"), (16, "double"), (64, "float")])
+def test_embeddings_over_many_lists(spark, monkeypatch, dim, kind):
+    """Over a hundred lists: links are symmetric, none is false, and all are found where the reach is lossless."""
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 24)
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(2600, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(1000, dim))
+    side -= (side * x[:1000]).sum(axis=1, keepdims=True) * x[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9499, 0.97, 1000)[:, None]
+    x = np.concatenate([x, cos * x[:1000] + np.sqrt(1 - cos**2) * side])
+    x = x.astype(np.float32 if kind == "float" else np.float64).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    assert embeddings.lists_for(len(x)) > 100
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    want = near.sum(axis=1) - 1
+    for reach in (None, embeddings.EXACT):
+        got = np.array([r.n_links for r in sorted(embeddings.linked(table, reach=reach).collect())])
+        assert (got <= want).all() and got.sum() % 2 == 0
+        assert got.sum() >= (1 if reach or dim < 32 else 0.99) * want.sum()
