@@ -60,6 +60,18 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """row, which tells each row of docs from all others and stays the same whenever docs is read, and doc, a struct of
+    docs' own columns: no names clash.
+
+    Rows of a plain table of files are known by file and place. Any other DataFrame is settled first, since numbers given
+    while a plan runs may differ when a lost task runs again."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = settle(docs)
+    row = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select(row.alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; it must be cheap to read, as after settle()."""
     return df.limit(rows + 1).count() <= rows
@@ -98,6 +110,17 @@ def made_since(spark: SparkSession, path: str) -> None:
         discard(spark, _MADE.pop())
 
 
+def settle_alone(df: DataFrame, begun: str) -> DataFrame:
+    """settle(df), and then delete the folders that were named since begun was, df's own inputs among them."""
+    path = shared_dir(df.sparkSession)
+    out = settle(df, path)
+    for old in _MADE[_MADE.index(begun) + 1 :]:
+        if old != path:
+            _MADE.remove(old)
+            discard(df.sparkSession, old)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Delete all folders that operators wrote so far; call it once their results are stored elsewhere."""
     while _MADE:
