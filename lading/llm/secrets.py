@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import identified, settle
 
 #: Base kinds in their order: pattern, the group whose length counts, its least length.
 BASE = {
@@ -37,20 +37,33 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Pieces of a text that one fold appends to an array: appending copies, so this keeps the time linear in the matches.
+CHUNK = 256
+
+
+def _chunked(items: str, body: str) -> str:
+    """SQL for the array of body for each run c of CHUNK elements of an array."""
+    return f"transform(if(size({items}) > 0, sequence(0, (size({items}) - 1) div {CHUNK}), array()), n -> transform(array(slice({items}, n * {CHUNK} + 1, {CHUNK})), c -> {body})[0])"
+
+
 def spans_sql(text: str, kind: str) -> str:
     """SQL for the array of spans (kind, from, to) of one kind: what lies between matches and the matches' own lengths
-    add up to places in code points; matches that are too short are dropped after matching."""
+    add up to places in code points; matches that are too short are dropped after matching. Pieces are summed up in runs,
+    and runs' starts first, so that the time is linear in the matches."""
     pattern, group, least = BASE.get(kind) or (WEAK[kind], 0, 1)
     p = _quoted(pattern)
     k = ORDER.index(kind)
+    pieces = f"""zip_with(split({text}, {p}, -1), arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
+      (gap, m) -> named_struct('gap', char_length(gap), 'len', coalesce(char_length(m['0']), 0), 'own', char_length(m['1'])))"""
+    sums = _chunked("ps", "aggregate(c, 0, (a, x) -> a + x.gap + x.len)")
+    starts = "aggregate(sums, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    spans = f"""aggregate(r.c, named_struct('at', r.start, 'spans', cast(array() as array<{_SPAN}>)),
+      (a, x) -> named_struct('at', a.at + x.gap + x.len, 'spans',
+        if(x.own >= {least}, concat(a.spans, array(named_struct('kind', {k}, 'from', a.at + x.gap, 'to', a.at + x.gap + x.len))), a.spans)),
+      a -> a.spans)"""
     return f"""if({text} rlike {p},
-      aggregate(
-        zip_with(split({text}, {p}, -1), arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
-          (gap, m) -> named_struct('gap', char_length(gap), 'len', char_length(m['0']), 'own', char_length(m['1']))),
-        named_struct('at', 0, 'spans', cast(array() as array<{_SPAN}>)),
-        (a, x) -> named_struct('at', a.at + x.gap + coalesce(x.len, 0), 'spans',
-          if(x.own >= {least}, concat(a.spans, array(named_struct('kind', {k}, 'from', a.at + x.gap, 'to', a.at + x.gap + x.len))), a.spans)),
-        a -> a.spans),
+      transform(array({pieces}), ps -> transform(array({sums}), sums -> transform(array({starts}), starts ->
+        flatten(transform(filter(zip_with({_chunked("ps", "c")}, starts, (c, s) -> named_struct('c', c, 'start', s)), r -> r.c is not null), r -> {spans})))[0])[0])[0],
       cast(array() as array<{_SPAN}>))"""
 
 
@@ -95,7 +108,8 @@ def _reported(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns keep of each row of docs, and spans: the base spans and the linked weak ones by start, then kind.
 
-    A null or empty text has none. Repeated rows are scanned each. docs may have any other columns."""
+    A null or empty text has none. Repeated rows are scanned each; ties, spans of one start, are in the kinds' order; an
+    empty table gives no rows; the time is linear in a text's length and matches. docs may have any other columns."""
     found = settle(docs.select(*(F.col(f"`{c}`").alias(c) for c in keep), F.monotonically_increasing_id().alias("row_id"), parts().alias("parts")))
     joined = found.join(_reported(found), "row_id", "left")
     every = F.concat(_of(BASE), F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))
@@ -109,7 +123,7 @@ def listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of docs (doc_id, text)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of docs (doc_id, text); see scan()."""
     base = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin([ORDER.index(k) for k in kinds]))
     return scan(docs, "doc_id").select(
         "doc_id", *(F.size(base(k)).cast("bigint").alias(f"n_{k}") for k in BASE),
@@ -117,20 +131,36 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Code points of a section of a text, to which places are found without going through the text from its start.
+SECTION = 4096
+
+_CUT = f"""
+transform(array(regexp_extract_all(text, '(?s).{{1,{SECTION}}}', 0)), sections ->
+  transform(array({_chunked("spans", "array_max(transform(c, x -> x.to))")}), tops ->
+    transform(array(aggregate(tops, array(0), (a, x) -> concat(a, array(greatest(element_at(a, -1), x))))), starts -> concat(
+      array_join(flatten(transform(filter(zip_with({_chunked("spans", "c")}, starts, (c, s) -> named_struct('c', c, 'start', s)), r -> r.c is not null), r ->
+        transform(array(named_struct('base', r.start div {SECTION} * {SECTION}, 'part', array_join(slice(sections, r.start div {SECTION} + 1, element_at(r.c, -1).from div {SECTION} - r.start div {SECTION} + 1), ''))), at ->
+          aggregate(r.c, named_struct('at', r.start, 'out', cast(array() as array<string>)),
+            (a, x) -> named_struct('at', greatest(a.at, x.to), 'out', if(x.from >= a.at, concat(a.out, array(concat(substr(at.part, a.at - at.base + 1, x.from - a.at), '{MARK}'))), a.out)),
+            a -> a.out))[0])), ''),
+      substr(array_join(slice(sections, element_at(starts, -1) div {SECTION} + 1, size(sections)), ''), element_at(starts, -1) % {SECTION} + 1)))[0])[0])[0]
+"""
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its text, overlapping ones together, replaced by MARK; n_chars follows the new text.
 
-    Texts travel once, beside their parts; rows without a span are left as they are."""
-    found = settle(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("row_id"), parts().alias("parts")), shared_dir(docs.sparkSession))
-    joined = found.join(_reported(found.select("row_id", "parts")), "row_id", "left")
-    every = F.sort_array(F.transform(F.concat(_of(BASE), F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))), lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))))
-    text = F.col("row.text")
-    piece = lambda a, x: F.concat(F.expr("row.text").substr(a["at"] + 1, x["from"] - a["at"]), F.lit(MARK))
-    folded = F.aggregate(
-        F.col("every"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(F.greatest(a["at"], x["to"]).alias("at"), F.when(x["from"] >= a["at"], F.concat(a["out"], F.array(piece(a, x)))).otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.expr("row.text").substr(a["at"] + 1, F.char_length(F.expr("row.text")))),
-    )
-    clean = joined.select("row", every.alias("every")).select("row", F.when(F.size("every") > 0, folded).otherwise(text).alias("clean"))
-    now = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").eqNullSafe(text), F.col("row.n_chars")).otherwise(F.char_length("clean").cast("bigint"))} if "n_chars" in docs.columns else {"text": F.col("clean")}
-    return clean.select(*(now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    Spans alone are written and joined back to the rows, so texts stay where they are unless the rows with a span are too
+    many to broadcast. Rows without a span, null texts too, are left as they are; repeated rows are cleaned each; an empty
+    table gives no rows; any other columns are kept."""
+    rows = identified(docs)
+    found = settle(rows.select("row", parts("doc.text").alias("parts")).where(F.size("parts") > 0))
+    every = F.concat(_of(BASE), F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))
+    spans = F.sort_array(F.transform(every, lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))))
+    cuts = settle(found.join(_reported(found.withColumnRenamed("row", "row_id")), F.col("row") == F.col("row_id"), "left").select("row", spans.alias("spans")).where(F.size("spans") > 0))
+    few = F.broadcast(cuts) if (cuts.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW_SPANS else cuts
+    clean = rows.join(few, "row", "left").select("doc", F.col("doc.text").alias("text"), "spans").select("doc", F.when(F.col("spans").isNotNull(), F.expr(_CUT)).alias("clean"))
+    now = {"text": F.coalesce("clean", F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        now["n_chars"] = F.when(F.col("clean").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("clean").cast("bigint"))
+    return clean.select(*(now.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

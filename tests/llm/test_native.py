@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +105,52 @@ def test_redaction(spark):
     assert sorted((r.doc_id, r.text or "", r.n_chars) for r in out.collect()) == [(1, "é [SECRET] tail", 15), (1, "é [SECRET] tail", 15), (2, "clean", 5), (3, "", 0)]
 
 
+def test_redaction_is_brute_force(spark):
+    """Texts over several sections and runs of spans, with code points of four bytes and overlapping spans."""
+    rng = random.Random(5)
+    bits = ["token=abcdef", "secret=token:abcdefgh", "é😀 ", "x" * 700 + " ", "word ", "\n", "AKIA" + "Z" * 20 + " ", "password=", "f" * 30 + " "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (1, 5, 40, 300, 2500)]
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    spans = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secrets.report(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        at, out = 0, ""
+        for a, b in sorted(spans[i]):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[i] == (out + t[at:], len(out + t[at:]))
+
+
+def test_weak_spans_are_brute_force(spark):
+    """Every weak match with a complementary part within SCOPE is reported, and no other."""
+    rng = random.Random(8)
+    bits = ["host=abc.def ", "login=bob ", "pwd=abcdefgh ", "token=abcdef ", "." * 90 + " ", "." * 205 + " "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(120)]
+    got = {r.doc_id: r.spans for r in secrets.report(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        found = [(m.start(), secrets.ORDER.index(k), m.end()) for k in secrets.ORDER for m in re.finditer(secrets.BASE[k][0] if k in secrets.BASE else secrets.WEAK[k], t, re.A) if k != "assign" or len(m[2]) >= 6]
+        kept = []
+        for a, k, b in found:
+            near = lambda x, y, a=a, b=b: y >= a - secrets.SCOPE and x <= b + secrets.SCOPE
+            others = secrets.COMPLETES[secrets.ROLE[secrets.ORDER[k]]]
+            if k < len(secrets.BASE) or any(near(x, y) for x, n, y in found if secrets.ROLE[secrets.ORDER[n]] in others):
+                kept.append((a, k, b))
+        assert got[i] == ",".join(f"{secrets.ORDER[k]}:{a}:{b}" for a, k, b in sorted(kept))
+
+
+def test_time_is_linear_in_matches(spark):
+    def seconds(n, run):
+        docs = table(spark, [(1, "token=abcdef " * n, "s")])
+        began = time.time()
+        run(docs)
+        return time.time() - began
+
+    for run in (lambda d: secrets.report(d).collect(), lambda d: secrets.redact(d).collect()):
+        seconds(1000, run)
+        assert seconds(40_000, run) <= 4 * seconds(10_000, run) + 1
+
+
 def level(sizes):
     """Targets by repeated resharing."""
     order = sorted(sizes, key=lambda s: (s is None, s))
@@ -155,10 +204,65 @@ def test_shards_have_exact_quotas(spark):
     assert max(shard.values()) - min(shard.values()) <= 4
 
 
+@pytest.mark.parametrize(("total", "marked", "taken", "wide"), [(60, 20, 30, 200.0), (9000, 4000, 4500, 200.0), (9000, 4000, 4500, 10.0), (40_000, 9_000, 20_000, 10.0)])
+def test_draws_follow_the_distribution(spark, monkeypatch, total, marked, taken, wide):
+    """Chi-square over cells of equal width against exact probabilities, by inversion and by rejection."""
+    monkeypatch.setattr(mixing, "WIDE", wide)
+    n, big = 20_000, F.lit
+    rows = spark.range(n).select(mixing._draw(big(total).cast("long"), big(marked).cast("long"), big(taken).cast("long"), F.col("id")).alias("x"))
+    got = dict(rows.groupBy("x").count().collect())
+    ln = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    p = {k: math.exp(ln(marked, k) + ln(total - marked, taken - k) - ln(total, taken)) for k in range(max(0, taken - total + marked), min(marked, taken) + 1)}
+    mean = taken * marked / total
+    dev = math.sqrt(mean * (1 - marked / total) * (total - taken) / (total - 1))
+    cell = lambda k: max(-6, min(6, math.floor((k - mean) / dev * 2)))
+    want, have = collections.Counter(), collections.Counter()
+    for k, q in p.items():
+        want[cell(k)] += q * n
+    for k, c in got.items():
+        assert k in p
+        have[cell(k)] += c
+    assert sum((have[c] - w) ** 2 / w for c, w in want.items() if w > 5) < 40
+
+
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    """With each quota that the tree deals halved, half is taken; and shards and places are those of the draws."""
+    docs = table(spark, [(i, " ".join(["w"] * 300), "ab"[i % 2]) for i in range(200)])
+    whole = sum(r.taken for r in mixing.mix_report(docs).collect())
+    dealt = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n: dealt(q.withColumn("quota", F.floor(F.col("quota") / 2)), n))
+    half = sum(r.taken for r in mixing.mix_report(docs).collect())
+    assert abs(half * 2 - whole) <= 4 * mixing.BLOCK_WORDS
+
+
+def test_mixed_keeps_shards_together(spark, tmp_path):
+    docs = table(spark, [(i, f"word {i}", "ab"[i % 2]) for i in range(400)] + [(None, "same", "c")] * 50 + [(7, None, None)])
+    out = mixing.mixed(docs, 4)
+    assert out.columns == docs.columns
+    parts = [[r.doc_id for r in rows] for rows in out.rdd.glom().collect()]
+    sizes = mixing.sized(docs)
+    draws, _ = mixing.mix(sizes, None, 4)
+    want = collections.defaultdict(list)
+    for r in sorted(draws.collect(), key=lambda r: (r.shard, r.order)):
+        want[r.shard].append(r.doc_id)
+    assert parts == [want[k] for k in range(4)]
+    assert any(p != sorted(p, key=lambda i: -1 if i is None else i) for p in parts)
+
+
+def test_rows_that_crowd_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 20)
+    docs = table(spark, [(None, "same text here", "a")] * 400 + [(i, f"w {i}", "ab"[i % 2]) for i in range(100)])
+    ranked = mixing.blocks(mixing.sized(docs), None)
+    for s in "ab":
+        rows = sorted(ranked.where(F.col("source") == s).collect(), key=lambda r: r.rank)
+        assert [r.rank for r in rows] == list(range(len(rows)))
+        assert all(b.before == a.before + a.words for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_draws_are_disjoint(spark):
     docs = table(spark, [(i, " ".join(["w"] * 300), "ab"[i % 2]) for i in range(60)])
     draws, _ = mixing.mix(mixing.sized(docs))
-    assert draws.groupBy("doc_id", "block", "epoch").count().where("count > 1").isEmpty()
+    assert draws.groupBy("row", "block", "epoch").count().where("count > 1").isEmpty()
     assert draws.select("shard").distinct().count() == mixing.SHARDS
 
 
