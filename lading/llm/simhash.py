@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import joined_by, settle
 from .graph import connected_components
 from .runs import forest, group_starts, ranged_pairs, whole_groups
 
@@ -46,7 +46,7 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, n)
 
 
-def _majority(hashes: list[np.ndarray]) -> np.ndarray:
+def majority(hashes: list[np.ndarray]) -> np.ndarray:
     """The fingerprint of each text: a bit is set if it is in over half of the text's hashes."""
     counts = np.array([len(h) for h in hashes])
     out = np.zeros(len(hashes), np.uint64)
@@ -70,9 +70,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
                 held.append(shingle_hashes(text.as_py() or "", words))
                 size += len(held[-1])
                 if size > 200_000:
-                    fps.append(_majority(held))
+                    fps.append(majority(held))
                     held, size = [], 0
-            fps.append(_majority(held))
+            fps.append(majority(held))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(fps).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -265,31 +265,11 @@ def clustered(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
     marked = settle(fingerprints(docs, words))
     nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = connected_components(links(nodes, threshold))
-    rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = settle(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    named = joined_by(rooted, rooted.groupBy("component").agg(F.min("first").alias("component_id")), "component")
+    return joined_by(marked, settle(named.select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits) and component_id of each row of docs."""
+    """doc_id, fingerprint (16 lowercase hex digits) and component_id of each row of docs; see clustered()."""
     return clustered(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs with one document of each component of groups (doc_id, component_id): the one with the smallest doc_id (one
-    of the rows that repeat it).
-
-    Only ids are compared and dropped; the kept texts are picked by a join on the id. A row with a null doc_id can't be
-    named by its component and stays."""
-    groups = settle(groups)
-    keep = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if not keep.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
-def one_of_each(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
-    """docs with the document of the smallest doc_id of each component."""
-    return one_each(docs, clustered(docs, words, threshold))

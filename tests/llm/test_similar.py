@@ -60,3 +60,27 @@ def test_unlike_pairs_of_a_bucket_are_not_linked(spark, monkeypatch, small, cell
 def test_no_document_has_a_candidate(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "u v w x y z"), (None, "p q r s t u")], "doc_id long, text string")
     assert similar.one_of_each(docs, 5, 0.8).count() == 3
+
+
+def test_rows_not_ids_are_dropped(spark):
+    """One id with unlike texts, a near copy under an id that is kept, null ids, and rows that repeat."""
+    a, b, c = ("one two three four five six seven eight", "some other words that nobody else has here", "a third text with its own eight words")
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, c), (7, c), (8, None), (9, ""), (None, b)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, row string, best string")
+    out = similar.one_of_each(docs, 5, 0.8)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(3, a), (5, b), (7, c), (8, "")])
+    assert similar.one_of_each(docs.limit(0), 5, 0.8).count() == 0
+
+
+def test_hot_groups(spark, monkeypatch):
+    """Many copies and many near copies of one text, with hot keys joined by broadcast."""
+    from lading.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words)] * 40 + [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(5, 45)] + [""] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.clustered(docs, 5, 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert sorted(r.doc_id for r in similar.one_of_each(docs, 5, 0.8).collect()) == sorted(set(brute(texts)))

@@ -84,14 +84,6 @@ def test_plans_keep_the_pigeonhole_principle():
         assert all(a < b for a, b, _ in parts)
 
 
-def test_one_of_each(spark):
-    rows = docs(spark, ["a b c d e f g", "a b c d e f g", "other words are in this one", None, ""])
-    twice = rows.unionByName(rows.where("doc_id = 0"))
-    out = simhash.one_of_each(twice)
-    assert out.columns == rows.columns
-    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
-
-
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=80))
 def test_forest(pairs):
