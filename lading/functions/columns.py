@@ -87,6 +87,27 @@ def last_part(parts: Column) -> Column:
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
+def first_part(parts: Column) -> Column:
+    return F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
+
+
+def depth(parts: Column) -> Column:
+    return F.size(F.filter(parts, lambda p: p != "/"))
+
+
+def without_first(parts: Column) -> Column:
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def appended(parts: Column, name: Column) -> Column:
+    return F.concat(parts, F.array(name))
+
+
+def same_path(a: Column, b: Column, canonically: bool = False) -> Column:
+    """Whether two paths have equal parts, as they stand or once "." and ".." are taken out."""
+    return canonical(a) == canonical(b) if canonically else a == b
+
+
 def below(parts: Column, above: Column) -> Column:
     """Whether a canonical path lies at or below another."""
     return F.slice(canonical(parts), 1, F.greatest(F.size(canonical(above)), F.lit(1))) == canonical(above)
@@ -136,6 +157,22 @@ def _stamp(year, month, day, hour, minute, second) -> Column:
     return F.try_make_timestamp(year, month, day, hour, minute, second)
 
 
+def zoned_timestamp(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, east: Column) -> Column:
+    """A date and a clock in a zone that lies so many seconds east; null if there is no such date."""
+    return F.timestamp_seconds(F.unix_timestamp(_stamp(year, month, day, hour, minute, second)) - east)
+
+
+def timespec(stamp: Column) -> Column:
+    """Seconds since 1970 and the nanoseconds beyond them."""
+    micros = F.unix_micros(stamp)
+    return F.struct(F.floor(micros / 1_000_000).alias("seconds"), (F.pmod(micros, F.lit(1_000_000)) * 1000).alias("nanoseconds"))
+
+
+def timestamp_2000(seconds: Column) -> Column:
+    """Seconds since 2000."""
+    return F.timestamp_seconds(seconds + 946684800)
+
+
 def dos_timestamp(stamp: Column) -> Column:
     """MS-DOS's 32 bits, two seconds apart; null if there is no such date."""
     part = lambda shift, mask: F.shiftright(stamp.cast("bigint"), shift).bitwiseAND(F.lit(mask)).cast("int")

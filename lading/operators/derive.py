@@ -68,24 +68,74 @@ def renamed(entries: DataFrame, name: str = "name", archive: str = "archive", id
 
 
 def method_codes(methods: DataFrame, name: str = "compression") -> DataFrame:
-    """code: the first letters of a method's words, four at most; methods that share one get a digit."""
+    """code: the first letters of a method's words, four at most; of methods that share one the later ones get a number
+    in place of its last letters. A method whose own letters look like that may still share its code."""
     code = F.substring(F.regexp_replace(F.initcap(name), r"[^A-Z0-9]", ""), 1, 4)
     rows = methods.select(name).distinct().withColumn("code", F.rpad(code, 4, "-"))
     n = F.row_number().over(Window.partitionBy("code").orderBy(name)) - 1
-    return rows.withColumn("_n", n).withColumn("code", F.when(F.col("_n") > 0, F.concat(F.substring("code", 1, 3), F.col("_n").cast("string"))).otherwise(F.col("code"))).drop("_n")
+    digits = F.col("_n").cast("string")
+    return rows.withColumn("_n", n).withColumn("code", F.when(F.col("_n") > 0, F.concat(F.expr("substring(code, 1, greatest(4 - length(cast(_n as string)), 0))"), digits)).otherwise(F.col("code"))).drop("_n")
 
 
 # Joins
 
 
 def paired_forks(entries: DataFrame, archive: str = "archive", path: str = "name", fork: str = "is_resource_fork", idx: str = "idx") -> DataFrame:
-    """Data and resource forks of a path side by side (data_idx, resource_idx): the n-th of one with the n-th of the
-    other, either may be missing."""
-    w = Window.partitionBy(archive, path, F.coalesce(F.col(fork), F.lit(False))).orderBy(idx)
-    rows = entries.select(archive, path, idx, flag(F.col(fork)).alias("_fork"), F.row_number().over(w).alias("_n"))
-    data = rows.where("not _fork").select(archive, path, "_n", F.col(idx).alias("data_idx"))
-    resource = rows.where("_fork").select(archive, path, "_n", F.col(idx).alias("resource_idx"))
-    return data.join(resource, [archive, path, "_n"], "full_outer").drop("_n")
+    """Data and resource forks of a path side by side (data_idx, resource_idx): a fork fills the empty place of the
+    latest row of its path, or begins a new row. In a run of forks that alternate, each two are a row."""
+    w = Window.partitionBy(archive, path).orderBy(idx)
+    rows = entries.select(archive, path, idx, flag(F.col(fork)).alias("_fork"))
+    rows = rows.withColumn("_new", F.when(F.col("_fork") == F.lag("_fork").over(w), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
+    rows = rows.withColumn("_row", F.floor((F.row_number().over(Window.partitionBy(archive, path, "_run").orderBy(idx)) - 1) / 2))
+    return rows.groupBy(archive, path, "_run", "_row").agg(F.min(F.when(~F.col("_fork"), F.col(idx))).alias("data_idx"), F.min(F.when(F.col("_fork"), F.col(idx))).alias("resource_idx")).drop("_run", "_row")
+
+
+def apple_doubles(entries: DataFrame, archive: str = "archive", path: str = "name", idx: str = "idx") -> DataFrame:
+    """archive, idx and file_idx of each ._ entry: the file whose resource fork and attributes it holds. That is the last
+    entry before with the path without ._ (and without __MACOSX/ in front), else the next one, else none."""
+    name = F.regexp_extract(path, r"(?s)([^/]*)$", 1)
+    target = F.regexp_replace(F.regexp_replace(path, r"(?s)^__MACOSX/", ""), r"(?s)(^|/)\._([^/]*)$", "$1$2")
+    rows = entries.select(archive, idx, name.startswith("._").alias("_double"), F.when(name.startswith("._"), target).otherwise(F.regexp_replace(path, "/$", "")).alias("_path"))
+    file = F.when(~F.col("_double"), F.col(idx))
+    w = Window.partitionBy(archive, "_path").orderBy(idx)
+    before = F.last(file, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(file, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("file_idx", F.coalesce(before, after)).where("_double").select(archive, idx, "file_idx")
+
+
+def without_macosx(entries: DataFrame, path: str = "name", directory: str = "is_directory") -> DataFrame:
+    """Without the directory __MACOSX itself; what lies in it is paired by apple_doubles()."""
+    return entries.where(~(flag(F.col(directory)) & F.regexp_replace(path, "/$", "").eqNullSafe("__MACOSX")))
+
+
+def merged_forks(pairs: DataFrame, entries: DataFrame, columns: list[str], archive: str = "archive", path: str = "name", idx: str = "idx") -> DataFrame:
+    """A row a file of paired_forks(): the columns as the resource fork has them, else as the data fork has."""
+    d = entries.select(archive, F.col(idx).alias("data_idx"), *(F.col(c).alias(f"_d_{c}") for c in columns))
+    r = entries.select(archive, F.col(idx).alias("resource_idx"), *(F.col(c).alias(f"_r_{c}") for c in columns))
+    both = pairs.join(d, [archive, "data_idx"], "left").join(r, [archive, "resource_idx"], "left")
+    return both.select(archive, path, "data_idx", "resource_idx", *(F.coalesce(f"_r_{c}", f"_d_{c}").alias(c) for c in columns))
+
+
+def with_ordinal(rows: DataFrame, stream: str, *order: str) -> DataFrame:
+    """ordinal: the place of a fork in its stream, from 0."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1)
+
+
+def last_reference(items: DataFrame, references: DataFrame, key: str, place: str) -> DataFrame:
+    """items with the last place that refers to each, or none."""
+    return items.join(references.groupBy(key).agg(F.max(place).alias(place)), key, "left")
+
+
+def moved(entries: DataFrame, renames: DataFrame, path: str = "name") -> DataFrame:
+    """entries with new_path: a rename (old, new) of a leading folder, of one or more parts, holds for all below it; the
+    longest one wins. Each path is joined by its prefixes, so no pairs are made."""
+    parts = F.split(path, "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    rows = entries.withColumn("_row", F.monotonically_increasing_id())
+    found = rows.select("_row", F.explode(prefixes).alias("old")).join(renames.select("old", "new"), "old")
+    best = found.groupBy("_row").agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("_best"))
+    new = F.concat(F.col("_best.new"), F.substring(F.col(path), F.length("_best.old") + 1, F.length(path)))
+    return rows.join(best, "_row", "left").withColumn("new_path", F.coalesce(new, F.col(path))).drop("_row", "_best")
 
 
 def answered(responses: DataFrame, requests: DataFrame, key: str, order: str) -> DataFrame:
@@ -144,6 +194,37 @@ def verdict_counts(entries: DataFrame, *by: str) -> DataFrame:
     return entries.groupBy(*by).agg(F.count_if(passed).alias("passed"), F.count_if(failed).alias("failed"), F.count_if(~passed & ~failed).alias("unknown"))
 
 
+def extraction_total(size: Column, directory: Column) -> Column:
+    """The sum of sizes that extraction writes: directories don't count, an unknown size makes it -1."""
+    kept = ~flag(directory)
+    return F.when(F.count_if(kept & size.isNull()) > 0, F.lit(-1)).otherwise(F.coalesce(F.sum(F.when(kept, size)), F.lit(0)))
+
+
+def any_flag(column: Column) -> Column:
+    """Whether a flag is set for any entry; unknown ones are not."""
+    return F.coalesce(F.bool_or(flag(column)), F.lit(False))
+
+
+def prorated(entries: DataFrame, folder: str, size: str, packed: str) -> DataFrame:
+    """packed_share: a folder's packed size, dealt to its entries by their sizes."""
+    whole = F.sum(size).over(Window.partitionBy(folder))
+    return entries.withColumn("packed_share", F.when(whole > 0, F.floor(F.col(packed) * F.col(size) / whole)).otherwise(0).cast("bigint"))
+
+
+def overlaid(under: Column, over: Column) -> Column:
+    """The entries of two maps; where both have a key, the second one's."""
+    return F.map_concat(F.map_filter(under, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+
+
+def sorted_keys(values: Column) -> Column:
+    return F.array_sort(F.map_keys(values))
+
+
+def representative_size(size: Column, packed: Column) -> Column:
+    """A size to weigh an entry by: its own, else what it takes up, else 1000."""
+    return F.coalesce(size, packed, F.lit(1000).cast("bigint"))
+
+
 def legend(compression: Column) -> Column:
     return F.array_sort(F.collect_set(compression))
 

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import names as N
 from ..operators import derive as O
 from ..sources.reader import Options, list_entries
 from . import pack
-from .listing import described, json_line, long_line, medium_line, short_line
+from .listing import described, entry_at, json_documents, json_line, long_line, medium_line, short_line
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,12 +182,71 @@ def method_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins
 
 
-@query("""with a as (select conv_id, turn // 2 as path, turn % 2 = 1 as fork, turn from conversations), b as (select *, row_number() over (partition by conv_id, path, fork order by turn) as n from a)
- select coalesce(d.conv_id, r.conv_id) as conv_id, coalesce(d.path, r.path) as path, d.turn as data_idx, r.turn as resource_idx
- from (select * from b where not fork) d full join (select * from b where fork) r on d.conv_id = r.conv_id and d.path = r.path and d.n = r.n""")
+@query("""with a as (select user_id, event_type, event_id, event_id * 7 % 5 < 2 as fork from events),
+ b as (select *, case when fork = lag(fork) over (partition by user_id, event_type order by event_id) then 1 else 0 end as n from a),
+ c as (select *, sum(n) over (partition by user_id, event_type order by event_id) as run from b),
+ d as (select *, (row_number() over (partition by user_id, event_type, run order by event_id) - 1) // 2 as r from c)
+ select user_id, event_type, min(event_id) filter (not fork) as data_idx, min(event_id) filter (fork) as resource_idx from d group by user_id, event_type, run, r""")
 def paired_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "conversations").select("conv_id", F.floor(F.col("turn") / 2).alias("path"), (F.col("turn") % 2 == 1).alias("fork"), "turn")
-    return O.paired_forks(rows, "conv_id", "path", "fork", "turn")
+    rows = t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.col("event_id") * 7 % 5 < 2).alias("fork"))
+    return O.paired_forks(rows, "user_id", "event_type", "fork", "event_id")
+
+
+_DOUBLES = """with e as (select user_id, event_id, case when event_id % 3 = 0 then case when event_id % 2 = 0 then '__MACOSX/' else '' end || 'd/._' || event_type else 'd/' || event_type end as name from events)"""
+
+
+@query(_DOUBLES + r""", p as (select *, 'd/' || regexp_replace(regexp_extract(name, '[^/]*$'), '^\._', '') as path, starts_with(regexp_extract(name, '[^/]*$'), '._') as dbl from e)
+ select user_id, event_id, coalesce((select max(f.event_id) from p f where f.user_id = p.user_id and f.path = p.path and not f.dbl and f.event_id < p.event_id), (select min(f.event_id) from p f where f.user_id = p.user_id and f.path = p.path and not f.dbl and f.event_id > p.event_id)) as file_idx from p where dbl""")
+def apple_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    double = F.concat(F.when(k % 2 == 0, "__MACOSX/").otherwise(""), F.lit("d/._"), "event_type")
+    rows = t(spark, sf_dir, "events").select("user_id", "event_id", F.when(k % 3 == 0, double).otherwise(F.concat(F.lit("d/"), "event_type")).alias("name"))
+    return O.apple_doubles(rows, "user_id", "name", "event_id")
+
+
+@query("""select user_id, event_id from events where not (event_type = 'view' and event_id % 5 = 0)""")
+def without_macosx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = (F.col("event_type") == "view") & (F.col("event_id") % 5 == 0)
+    rows = t(spark, sf_dir, "events").select("user_id", "event_id", F.when(hit, "__MACOSX/").otherwise(F.concat(F.lit("__MACOSX/"), "event_type")).alias("name"), F.lit(True).alias("is_directory"))
+    return O.without_macosx(rows).select("user_id", "event_id")
+
+
+@query("""with a as (select c_custkey, c_nationkey, case when c_custkey % 3 = 0 then null else c_mktsegment end as kind, c_custkey % 2 = 1 as fork from customer),
+ b as (select *, case when fork = lag(fork) over (partition by c_nationkey order by c_custkey) then 1 else 0 end as n from a), c as (select *, sum(n) over (partition by c_nationkey order by c_custkey) as run from b),
+ d as (select *, (row_number() over (partition by c_nationkey, run order by c_custkey) - 1) // 2 as r from c)
+ select c_nationkey, min(c_custkey) filter (not fork) as data_idx, min(c_custkey) filter (fork) as resource_idx, coalesce(max(kind) filter (fork), max(kind) filter (not fork)) as kind from d group by c_nationkey, run, r""")
+def merged_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = t(spark, sf_dir, "customer").select("c_nationkey", F.lit("x").alias("name"), k.alias("idx"), (k % 2 == 1).alias("is_resource_fork"), F.when(k % 3 != 0, F.col("c_mktsegment")).alias("kind"))
+    pairs = O.paired_forks(rows, "c_nationkey")
+    return O.merged_forks(pairs, rows, ["kind"], "c_nationkey").select("c_nationkey", "data_idx", "resource_idx", "kind")
+
+
+@query("select p_partkey, max(l_orderkey) as l_orderkey, cast(row_number() over (partition by p_brand order by max(l_orderkey) nulls first, p_partkey) as integer) as place from part left join lineitem on l_partkey = p_partkey group by p_partkey, p_brand")
+def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image with the last page that refers to it, in the order of pages."""
+    lines = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
+    rows = O.last_reference(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), lines, "p_partkey", "l_orderkey")
+    return rows.select("p_partkey", "l_orderkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("l_orderkey").asc_nulls_first(), "p_partkey")).alias("place"))
+
+
+@query("""with f as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ordinal from orders)
+ select c_custkey, f.o_orderkey, cast(f.ordinal as integer) as ordinal from customer join f on f.o_custkey = c_custkey and f.ordinal = c_custkey % 4""")
+def stream_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and the forks of their stream, met by ordinal; many entries may share one."""
+    forks = O.with_ordinal(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "o_orderkey")
+    entries = t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("ordinal"))
+    return entries.join(forks, ["c_custkey", "ordinal"]).select("c_custkey", "o_orderkey", "ordinal")
+
+
+@query("""select p_partkey, case when p_brand || '/' || p_type in (select distinct p_brand || '/' || p_type from part where p_size > 40) then 'deep' || '/' || p_name
+ when p_brand in (select distinct p_brand from part where p_size > 45) then 'top/' || p_type || '/' || p_name else p_brand || '/' || p_type || '/' || p_name end as new_path from part""")
+def moved_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = t(spark, sf_dir, "part")
+    deep = parts.where("p_size > 40").select(F.concat_ws("/", "p_brand", "p_type").alias("old"), F.lit("deep").alias("new")).distinct()
+    top = parts.where("p_size > 45").select(F.col("p_brand").alias("old"), F.lit("top").alias("new")).distinct()
+    rows = parts.select("p_partkey", F.concat_ws("/", "p_brand", "p_type", "p_name").alias("name"))
+    return O.moved(rows, deep.unionByName(top)).select("p_partkey", "new_path")
 
 
 @query("""select a.conv_id, a.turn, q.turn as asked, md5(q.text) as request_md5 from (select * from conversations where role = 'assistant') a
@@ -255,6 +315,64 @@ def index_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", F.array_join("a", ",").alias("a"), F.array_join(joined, ",").alias("joined"), F.array_join(F.array_sort(F.array_except(joined, "a")), ",").alias("other"))
 
 
+@query("""select o_orderstatus, cast(case when count(*) filter (o_orderkey % 997 = 0 and o_orderkey % 2 = 1) > 0 then -1 else coalesce(sum(o_custkey) filter (o_orderkey % 2 = 1), 0) end as bigint) as total,
+ bool_or(o_orderkey % 500 = 0) as any_encrypted, coalesce(bool_or(case when o_custkey % 2 = 0 then o_custkey < 0 end), false) as any_corrupted, count(*) filter (o_orderpriority in ('1-URGENT')) as failed from orders group by o_orderstatus""")
+def extraction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted bytes of an extraction, flags over all entries, and files that failed."""
+    k = F.col("o_orderkey")
+    size = F.when(k % 997 != 0, F.col("o_custkey"))
+    rows = t(spark, sf_dir, "orders").groupBy("o_orderstatus")
+    return rows.agg(O.extraction_total(size, k % 2 == 0).cast("bigint").alias("total"), O.any_flag(k % 500 == 0).alias("any_encrypted"), O.any_flag(F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey") < 0)).alias("any_corrupted"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("failed"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, cast(case when sum(l_partkey) over (partition by l_orderkey) > 0 then l_orderkey * l_partkey // sum(l_partkey) over (partition by l_orderkey) else 0 end as bigint) as packed_share from lineitem")
+def prorated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return O.prorated(rows, "l_orderkey", "l_partkey", "l_orderkey")
+
+
+@query("select p_partkey, 'brand,name,size' as keys, case when p_size > 25 then 'big' else p_brand end as brand, case when p_size > 25 then cast(p_size as varchar) else 'none' end as size from part")
+def overlaid_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of an entry over its archive's: later ones win; keys in order."""
+    under = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.lit("none"))
+    over = F.when(F.col("p_size") > 25, F.create_map(F.lit("brand"), F.lit("big"), F.lit("size"), F.col("p_size").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    both = O.overlaid(under, over)
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(O.sorted_keys(both), ",").alias("keys"), both["brand"].alias("brand"), both["size"].alias("size"))
+
+
+@query("select count(*) as names, cast(max(case when o_orderkey % 3 = 0 then coalesce(case when o_orderkey % 2 = 0 then o_custkey end, 1000) else o_custkey end) as bigint) as size from (select distinct o_orderkey, o_custkey from orders)")
+def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").dropDuplicates()
+    size = O.representative_size(F.when(k % 3 != 0, F.col("o_custkey")), F.when(k % 2 == 0, F.col("o_custkey")))
+    return rows.agg(F.count("*").alias("names"), F.max(size).alias("size"))
+
+
+@query("select p_partkey, cast(row_number() over (partition by p_brand order by p_size, p_partkey) as integer) as by_offset, cast(row_number() over (partition by p_brand order by p_name, p_partkey) as integer) as by_name from part")
+def ordered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the place of their data, directories by name."""
+    w = lambda *c: F.row_number().over(Window.partitionBy("p_brand").orderBy(*c))
+    return t(spark, sf_dir, "part").select("p_partkey", w("p_size", "p_partkey").alias("by_offset"), w("p_name", "p_partkey").alias("by_name"))
+
+
+@query("select 'docs-' || (doc_id // 50) || '.tar' as archive, 'doc' || doc_id || '.txt' as name, cast(strlen(text) as bigint) as file_size from (select *, row_number() over (partition by doc_id // 50 order by doc_id) - 1 as idx from documents) where idx = 3")
+def fourth_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entry_at(_documents(spark, sf_dir, "tar"), 3, "name", "file_size")
+
+
+@query("""select 'docs-' || (doc_id // 50) || '.tar' as archive, '{"lsarFormatVersion":2,"lsarContents":[' || string_agg('{"name":"doc' || doc_id || '.txt","file_size":' || strlen(text) || '}', ',' order by doc_id) || '],"lsarFormatName":"Tar"}' as json from documents group by doc_id // 50""")
+def json_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_documents(_documents(spark, sf_dir, "tar"), "name", "file_size", "uid", exclude=("uid",))
+
+
+@query("select cast(524288 as bigint) as most, cast(62 as bigint) as formats")
+def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most bytes that a recogniser looks at, and how many there are."""
+    from ..sources.detect import FORMATS
+
+    return spark.createDataFrame([(f.header,) for f in FORMATS], "header long").agg(F.max("header").alias("most"), F.count("*").alias("formats"))
+
+
 # Functions
 
 
@@ -316,3 +434,65 @@ def described_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = described(_documents(spark, sf_dir, "tar"))
     size = F.regexp_extract("value", r"^([0-9]+) ", 1).cast("bigint")
     return rows.groupBy("archive").agg(F.count_if(F.col("label") == "Name").alias("names"), F.sum(F.when(F.col("label") == "Size", size)).cast("string").alias("sizes"))
+
+
+@query("""select doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: case when unicode(c) < 128 then c when unicode(c) > 65535 then printf('%%u%04x%%u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) else printf('%%u%04x', unicode(c)) end), '') as escaped,
+ regexp_full_match(text, '[\x00-\x7F]*', 's') as ascii from documents""")
+def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters beyond ASCII as escapes."""
+    docs = t(spark, sf_dir, "documents")
+    return docs.select("doc_id", N.ascii_escaped(F.col("text")).alias("escaped"), N.is_ascii(F.col("text")).alias("ascii"))
+
+
+@query("""select c_custkey, array_to_string(list_transform(regexp_extract_all(hex(encode(c_name || case when c_custkey % 3 = 0 then 'é€' else '' end)), '..'), lambda h: case when h < '80' then chr(cast('0x' || h as integer)) else '%' || lower(h) end), '') as shown, c_custkey % 3 <> 0 as fits from customer""")
+def undecodable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.encode(F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, "é€").otherwise("")), "UTF-8")
+    return t(spark, sf_dir, "customer").select("c_custkey", N.decoded(raw, "ascii").alias("shown"), N.can_decode(raw, "ascii").alias("fits"))
+
+
+@query("select c_nationkey, case when c_nationkey % 3 = 0 then 'utf-8' when c_nationkey % 3 = 1 then 'ascii' else 'shift_jis' end as encoding, cast(1 as double) as confidence from customer group by c_nationkey")
+def guessed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoding of an archive's names, told from all of them."""
+    k = F.col("c_nationkey") % 3
+    raw = F.when(k == 0, F.encode(F.concat("c_name", F.lit("日本")), "UTF-8")).when(k == 1, F.encode("c_name", "UTF-8")).otherwise(F.concat(F.encode("c_name", "UTF-8"), F.lit("日本語ファイル".encode("shift_jis"))))
+    rows = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("archive"), raw.alias("name_raw"))
+    return N.guessed_encodings(rows).select(F.col("archive").cast("int").alias("c_nationkey"), "encoding", "confidence")
+
+
+@query("select o_orderkey, o_orderkey as decimal, o_orderkey as hexadecimal, o_orderkey as octal, cast(null as bigint) as neither from orders")
+def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    texts = {"decimal": k.cast("string"), "hexadecimal": F.concat(F.lit("0x"), F.hex(k)), "octal": F.concat(F.lit("0"), F.conv(k.cast("string"), 10, 8)), "neither": F.concat(k.cast("string"), F.lit("x"))}
+    return t(spark, sf_dir, "orders").select("o_orderkey", *(N.parsed_number(v).alias(n) for n, v in texts.items()))
+
+
+@query("""select p_partkey, p_brand as first, p_name as last, 3 as depth, p_brand || '/' || p_type as parent, p_type || '/' || p_name as rest, p_brand || '/' || p_type || '/' || p_name || '/x' as more, true as same, false as equal, true as inside from part""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array("p_brand", "p_type", "p_name")
+    other = F.array(F.col("p_brand"), F.lit("."), F.lit("x"), F.lit(".."), F.col("p_type"), F.col("p_name"))
+    joined = lambda c: F.array_join(c, "/")
+    return t(spark, sf_dir, "part").select("p_partkey", C.first_part(parts).alias("first"), C.last_part(parts).alias("last"), C.depth(parts).alias("depth"), joined(C.parent(parts)).alias("parent"), joined(C.without_first(parts)).alias("rest"), joined(C.appended(parts, F.lit("x"))).alias("more"), C.same_path(parts, other, True).alias("same"), C.same_path(parts, other).alias("equal"), C.below(parts, C.parent(parts)).alias("inside"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate - interval 5 hour, '%Y-%m-%d %H:%M:%S') as zoned, cast(epoch(o_orderdate) as bigint) as seconds, cast(7000 as bigint) as nanoseconds, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as since_2000 from orders""")
+def zoned_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("timestamp_ltz")
+    zoned = C.zoned_timestamp(F.year(d), F.month(d), F.dayofmonth(d), F.hour(d), F.minute(d), F.second(d).cast("decimal(16,6)"), F.lit(18000))
+    spec = C.timespec(F.timestamp_micros(F.unix_micros(d) + 7))
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return t(spark, sf_dir, "orders").select("o_orderkey", shown(zoned).alias("zoned"), spec["seconds"].alias("seconds"), spec["nanoseconds"].alias("nanoseconds"), shown(C.timestamp_2000(F.unix_timestamp(d) - 946684800)).alias("since_2000"))
+
+
+@query("""select page_id, array_to_string(list_transform(regexp_extract_all(url, '[a-z]+'), lambda x: x), ',') as words, regexp_extract(url, '^([a-z]+)://([^/]+)', 2) as host, len(regexp_split_to_array(url, '[/.]')) as pieces, regexp_matches(url, '[0-9]$') as ends from pages""")
+def matched_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all(u, F.lit("[a-z]+"), F.lit(0)), ",").alias("words"), F.regexp_extract(u, r"^([a-z]+)://([^/]+)", 2).alias("host"), F.size(F.split(u, "[/.]")).cast("bigint").alias("pieces"), u.rlike("[0-9]$").alias("ends"))
+
+
+@query("select doc_id, text is not null as fits, text is not null as whole from documents where text is not null")
+def wrapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 60 characters: the longest is no longer, and all words are there."""
+    plain = F.regexp_replace("text", r"[^a-z ]", "")
+    lines = F.split(N.wrapped(plain, 60), "\n")
+    whole = F.replace(F.array_join(lines, ""), F.lit(" "), F.lit("")) == F.replace(plain, F.lit(" "), F.lit(""))
+    return t(spark, sf_dir, "documents").where("text is not null").select("doc_id", (F.array_max(F.transform(lines, F.length)) <= 60).alias("fits"), whole.alias("whole"))

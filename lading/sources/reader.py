@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from importlib import import_module
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, WrongPassword
 from .detect import HEADER, detect
 from .formats.entry import Corrupt, Entry, text
-from .source import Slice, Source
+from .source import Guarded, Slice, Source
 
 PARSERS = {
     "zips": {"zip": "parse"}, "tar": {"tar": "parse"}, "sevenzip": {"sevenzip": "parse"},
@@ -41,7 +42,9 @@ ENTRIES = (
 class Options:
     """content: fill that column. test: read each entry and tell how it went in status. depth: levels of archives in
     archives that are opened instead of listed. most_bytes: larger contents aren't read (status too_large), also if their
-    size shows only while they are. most_entries: an archive with more ends there (archive_status too_many)."""
+    size shows only while they are. most_entries: an archive with more ends there (archive_status too_many). keep: which rows
+    are wanted, told before their content is read; others are left out. until: the archive ends after the first row for
+    which it is true (archive_status stopped)."""
 
     content: bool = False
     test: bool = False
@@ -50,6 +53,8 @@ class Options:
     encoding: str | None = None
     most_bytes: int = 1 << 30
     most_entries: int = 5_000_000
+    keep: Callable[[dict[str, Any]], bool] | None = None
+    until: Callable[[dict[str, Any]], bool] | None = None
 
 
 def _parser(name: str):
@@ -73,7 +78,7 @@ def _verdict(e: Entry, options: Options) -> tuple[str | None, bytes | None]:
         return "password", None
     except Unsupported:
         return "unsupported", None
-    except (Damaged, Corrupt, ValueError, IndexError, KeyError, TypeError, OverflowError, EOFError, OSError, RecursionError):
+    except (Damaged, Corrupt, ValueError, IndexError, KeyError, OverflowError, EOFError, OSError, RecursionError):
         return "damaged", None
     if e.corrupted:
         return "damaged", data
@@ -104,6 +109,8 @@ def _row(e: Entry, archive: str, form: str, level: int, idx: int, options: Optio
 def rows_of(src: Source, archive: str, options: Options, level: int = 0) -> Iterator[dict[str, Any]]:
     """The rows of one archive. Damage stops it, with the rows so far; its last row, or one without an index if there is
     none, tells in archive_status."""
+    if not level:
+        src = Guarded(src)
     found = detect(src.at(0, HEADER), archive)
     blank = {f.split()[0]: None for f in re.split(r", (?=[a-z_]+ )", ENTRIES)} | {"archive": archive, "level": level}
     if found is None:
@@ -124,14 +131,20 @@ def rows_of(src: Source, archive: str, options: Options, level: int = 0) -> Iter
         except Unsupported:
             status = "unsupported"
             break
-        except (Corrupt, Damaged, ValueError, IndexError, KeyError, OverflowError, UnicodeError, TypeError, RecursionError, OSError, EOFError):
+        except (Corrupt, Damaged, ValueError, IndexError, KeyError, OverflowError, UnicodeError, RecursionError, EOFError):
             status = "damaged"
             break
         if idx >= options.most_entries:
             status = "too_many"
             break
         row = _row(e, archive, form.name, level, idx, options)
-        data = None
+        data, stop = None, bool(options.until and options.until(row))
+        if options.keep and not options.keep(row):
+            idx += 1
+            if stop:
+                status = "stopped"
+                break
+            continue
         inner = bool(e.archive) and level < options.depth
         if options.test or options.content or inner:
             row["status"], data = _verdict(e, options)
@@ -146,6 +159,9 @@ def rows_of(src: Source, archive: str, options: Options, level: int = 0) -> Iter
             yield held.pop()
         held = [row]
         idx += 1
+        if stop:
+            status = "stopped"
+            break
         if inner and data is not None:
             yield held.pop()
             run = None
@@ -186,22 +202,49 @@ def read_archives(spark: SparkSession, path: str, options: Options | None = None
     return list_entries(spark.read.format("binaryFile").load(path), options)
 
 
+#: Names of volumes: a pattern, what the set's key is, and how its volumes are ordered.
+_SETS = (
+    (re.compile(r"(.*)\.([0-9]{3})"), "{0}", lambda m: (0, m[2])),
+    (re.compile(r"(.*)\.part([0-9]+)\.rar"), "{0}.part", lambda m: (0, m[2].rjust(10, "0"))),
+    (re.compile(r"(.*)\.(rar|r[0-9]{2})"), "{0}.r", lambda m: (0 if m[2] == "rar" else 1, m[2])),
+    (re.compile(r"(.*)\.(zip|z[0-9]{2})"), "{0}.z", lambda m: (1 if m[2] == "zip" else 0, m[2])),
+)
+
+
+def volume_place(path: str) -> tuple[str, tuple]:
+    """The key of the set that a file belongs to by its name, and its order there: name.001, .002 …; name.partN.rar;
+    name.rar, .r00, .r01 …; name.z01 … name.zip. Without regard to case; other files are sets of their own."""
+    low = path.lower()
+    for pattern, key, order in _SETS:
+        if m := pattern.fullmatch(low):
+            return key.format(m[1]), order(m)
+    return low, (0, "")
+
+
 def volume_sets(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Files with volumes of one set joined: a row for each set, named by its first volume.
-
-    A set is name.001, .002 …; name.partN.rar; name.rar, .r00, .r01 …; name.z01 … name.zip. The first extension comes
-    first, others by name without regard to case. The volumes of a set make one archive, which a task reads whole."""
-    low = F.lower(F.col(path))
-    stem = (
-        F.when(low.rlike(r"\.[0-9]{3}$"), F.regexp_replace(low, r"\.[0-9]{3}$", ""))
-        .when(low.rlike(r"\.part[0-9]+\.rar$"), F.regexp_replace(low, r"\.part[0-9]+\.rar$", ".part"))
-        .when(low.rlike(r"\.r(ar|[0-9]{2})$"), F.regexp_replace(low, r"\.r(ar|[0-9]{2})$", ".r"))
-        .when(low.rlike(r"\.z(ip|[0-9]{2})$"), F.regexp_replace(low, r"\.z(ip|[0-9]{2})$", ".z"))
-        .otherwise(low)
-    )
-    last = low.rlike(r"\.zip$").cast("int")
-    first = (~low.rlike(r"\.rar$")).cast("int")
-    part = F.struct(last.alias("last"), first.alias("first"), low.alias("low"), F.col(path).alias("path"), F.col(content).alias("content"))
-    sets = files.select(stem.alias("stem"), part.alias("p")).groupBy("stem").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return sets.select(F.element_at("ps.path", 1).alias("path"), F.size("ps").alias("volumes"), F.aggregate("ps", F.lit(b""), lambda a, x: F.concat(a, x["content"])).alias("content"))
+    """Files with volumes of one set joined: a row for each set, named by its first volume, whose volumes a task joins
+    in one pass. A set must fit a row (2 GB); the data source "lading" reads volumes of any size where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name, key, n = [], "", None, 0
 
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["path", "volumes", "content"])
+
+        for batch in batches:
+            for k, p, c in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if k != key:
+                    if n:
+                        yield done()
+                    held, name, key, n = [], p, k, 0
+                held.append(c.as_py() or b"")
+                n += 1
+        if n:
+            yield done()
+
+    @F.pandas_udf("struct<key: string, first: int, low: string>")
+    def place(paths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(key, first, low) for key, (first, low) in map(volume_place, paths)], columns=["key", "first", "low"])
+
+    rows = files.select(place(F.col(path)).alias("at"), F.col(path).alias("path"), F.col(content).alias("content")).select("at.*", "path", "content")
+    return rows.repartition("key").sortWithinPartitions("key", "first", "low", "path").select("key", "path", "content").mapInArrow(run, "path string, volumes int, content binary")

@@ -9,12 +9,20 @@ from itertools import accumulate
 from ..functions.kernels import Damaged
 
 
+class StoreFailure(RuntimeError):
+    """The store gave an error: the task fails and is tried again, as no archive is to blame."""
+
+
 class Source:
     """Random access to bytes held in memory."""
 
     def __init__(self, data: bytes) -> None:
         self.data, self.size = data, len(data)
 
+    def volumes(self) -> list[Source]:
+        """The volumes that are joined here, or this one alone."""
+        return [self]
+
     def at(self, offset: int, n: int) -> bytes:
         """n bytes from offset; fewer at the end."""
         return bytes(self.data[max(0, offset) : max(0, offset) + max(0, n)])
@@ -68,6 +76,9 @@ class Joined(Source):
         self.ends = list(accumulate(p.size for p in parts))
         self.size = self.ends[-1] if parts else 0
 
+    def volumes(self) -> list[Source]:
+        return self.parts
+
     def at(self, offset: int, n: int) -> bytes:
         offset, out = max(0, offset), []
         k = bisect.bisect_right(self.ends, offset)
@@ -77,3 +88,19 @@ class Joined(Source):
             out.append(got)
             offset, n, k = offset + len(got), n - len(got), k + 1
         return b"".join(out)
+
+
+class Guarded(Source):
+    """Errors of the store as StoreFailure, which isn't taken for damage."""
+
+    def __init__(self, inner: Source) -> None:
+        self.inner, self.size = inner, inner.size
+
+    def at(self, offset: int, n: int) -> bytes:
+        try:
+            return self.inner.at(offset, n)
+        except OSError as e:
+            raise StoreFailure(str(e)) from e
+
+    def volumes(self) -> list[Source]:
+        return [Guarded(v) for v in self.inner.volumes()]

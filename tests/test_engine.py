@@ -96,3 +96,82 @@ def test_column_functions(spark):
     got = rows.select(C.carets(F.col("c")), C.without_extension(F.col("n")), C.gzip_content_name(F.col("g")), C.varint(F.col("v")), C.fork_path(F.lit("d/n"), F.lit(True), "hidden"), C.four_letters(F.lit(0x54455854))).first()
     assert tuple(got) == ("a^Ib", "x", "f.tar", 128, "d/._n", "TEXT")
     assert C.glob_to_regex("a[bc]*?.\\*") == r"(?s)^a[bc].*.\.\*$"
+
+
+def test_errors_of_the_store_fail_the_task():
+    from lading.sources.reader import rows_of
+    from lading.sources.source import Source, StoreFailure
+
+    class Broken(Source):
+        def at(self, offset, n):
+            if offset > 100:
+                raise OSError("connection lost")
+            return super().at(offset, n)
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "x" * 500)
+    with pytest.raises(StoreFailure):
+        list(rows_of(Broken(out.getvalue()), "a.zip", Options(test=True)))
+
+
+def test_volumes_and_small_files_in_the_data_source(spark, tmp_path, monkeypatch):
+    from lading.sources import datasource
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(30):
+            z.writestr(f"f{i}.txt", f"text {i} " * 20)
+    data = out.getvalue()
+    for k in range(3):
+        (tmp_path / f"set.zip.{k + 1:03d}").write_bytes(data[k * 1000 : (k + 1) * 1000] if k < 2 else data[2000:])
+    for i in range(20):
+        (tmp_path / f"one{i}.zip").write_bytes(data)
+    register(spark)
+    df = spark.read.format("lading").option("test", "true").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1
+    rows = df.groupBy("archive").count().collect()
+    assert len(rows) == 21 and all(r["count"] == 30 for r in rows)
+    assert df.where("status <> 'ok'").isEmpty()
+    monkeypatch.setattr(datasource, "PARTITION_ARCHIVES", 7)
+    assert len(datasource.grouped([(f"a{i}.zip", 10) for i in range(20)])) == 3
+    assert datasource.grouped([("b.r00", 1), ("b.rar", 1), ("b.r01", 1), ("c.z01", 1), ("c.zip", 1)]) == [[["b.rar", "b.r00", "b.r01"], ["c.z01", "c.zip"]]]
+
+
+def test_targets_are_unique_and_attempts_have_names_of_their_own(spark, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in (("d/a.txt", "1"), ("d/a.txt", "2"), ("d/a-1.txt", "3"), ("d/a.txt", "4"), ("d/b.txt", "5")):
+            info = zipfile.ZipInfo(name, (2020, 2, 29, 12, 34, 56))
+            info.create_system, info.external_attr = 3, 0o100640 << 16
+            z.writestr(info, text)
+    files = spark.createDataFrame([("x.zip", bytearray(out.getvalue()))], "path string, content binary")
+    entries = list_entries(files, Options(content=True, test=True))
+    there = spark.createDataFrame([("d/b.txt",), ("d/b-1.txt",)], "path string")
+    plan = planned(entries, existing=there)
+    got = [r.target for r in sorted(plan.collect(), key=lambda r: r.idx)]
+    assert got == ["d/a.txt", "d/a-2.txt", "d/a-1.txt", "d/a-3.txt", "d/b-2.txt"]
+    assert written(plan, f"file://{tmp_path}").where("result <> 'file'").isEmpty()
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["a-1.txt", "a-2.txt", "a-3.txt", "a.txt", "b-2.txt"]
+    assert (tmp_path / "d" / "a-3.txt").read_text() == "4"
+    stat = (tmp_path / "d" / "a.txt").stat()
+    assert stat.st_mode & 0o777 == 0o640 and stat.st_mtime == 1582979696
+
+
+def test_chosen_entries_and_early_stop():
+    from lading.sources.reader import rows_of
+    from lading.sources.source import Source
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(9):
+            z.writestr(f"{i}.txt", "x")
+    rows = list(rows_of(Source(out.getvalue()), "a.zip", Options(keep=lambda r: r["idx"] % 2 == 0, until=lambda r: r["name"] == "5.txt")))
+    assert [r["idx"] for r in rows] == [0, 2, 4] and rows[-1]["archive_status"] == "stopped"
+
+
+def test_names_split_by_what_decodes():
+    from lading.functions.names import split_raw
+
+    assert split_raw("表示\\ソ.txt".encode("shift_jis"), "shift_jis") == ["表示", "ソ.txt"]
+    assert split_raw(b"/a/b", "ascii") == ["/", "a", "b"]
