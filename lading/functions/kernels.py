@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 import hmac
 import struct
@@ -9,6 +10,8 @@ import zlib
 from contextvars import ContextVar
 from functools import cache
 
+import numpy as np
+
 #: Bytes that one content may have at most.
 LIMIT: ContextVar[int] = ContextVar("LIMIT", default=1 << 31)
 
@@ -62,11 +65,7 @@ def crc16(data: bytes, start: int = 0) -> int:
 
 def crc16_ccitt(data: bytes, start: int = 0) -> int:
     """CRC-16 of CCITT, most significant bit first (0x1021)."""
-    for b in data:
-        start ^= b << 8
-        for _ in range(8):
-            start = (start << 1 ^ (0x1021 if start & 0x8000 else 0)) & 0xFFFF
-    return start
+    return binascii.crc_hqx(data, start)
 
 
 def byte_sum(data: bytes, mask: int = 0xFFFF) -> int:
@@ -74,10 +73,7 @@ def byte_sum(data: bytes, mask: int = 0xFFFF) -> int:
 
 
 def xor_sum(data: bytes) -> int:
-    out = 0
-    for b in data:
-        out ^= b
-    return out
+    return int(np.bitwise_xor.reduce(np.frombuffer(data, np.uint8))) if data else 0
 
 
 # Ciphers
@@ -121,7 +117,10 @@ def rc4(data: bytes, key: bytes) -> bytes:
 
 def xor_cipher(data: bytes, key: bytes) -> bytes:
     """XOR with a key again and again."""
-    return bytes(b ^ key[i % len(key)] for i, b in enumerate(data)) if key else data
+    if not key:
+        return data
+    pad = np.frombuffer((key * (len(data) // len(key) + 1))[: len(data)], np.uint8)
+    return (np.frombuffer(data, np.uint8) ^ pad).tobytes()
 
 
 @cache
@@ -235,19 +234,25 @@ def zip_aes(data: bytes, password: bytes, strength: int) -> bytes:
 
 
 class Bits:
-    """Bits of data, the most or the least significant of a byte first."""
+    """Bits of data, the most or the least significant of a byte first; eight bytes are held at a time."""
 
     def __init__(self, data: bytes, low_first: bool = False) -> None:
         self.data, self.low, self.at, self.held, self.n = data, low_first, 0, 0, 0
 
+    def _fill(self) -> None:
+        more = self.data[self.at : self.at + 8]
+        self.at += len(more)
+        if self.low:
+            self.held |= int.from_bytes(more, "little") << self.n
+        else:
+            self.held = self.held << 8 * len(more) | int.from_bytes(more, "big")
+        self.n += 8 * len(more)
+
     def read(self, k: int) -> int:
         while self.n < k:
             if self.at >= len(self.data):
                 raise Damaged("data end too soon")
-            byte = self.data[self.at]
-            self.at += 1
-            self.held = self.held | byte << self.n if self.low else self.held << 8 | byte
-            self.n += 8
+            self._fill()
         self.n -= k
         if self.low:
             out, self.held = self.held & (1 << k) - 1, self.held >> k
@@ -255,18 +260,43 @@ class Bits:
             out, self.held = self.held >> self.n, self.held & (1 << self.n) - 1
         return out
 
+    def peek(self, k: int) -> int:
+        """The next k bits, zeros behind the end."""
+        while self.n < k and self.at < len(self.data):
+            self._fill()
+        if self.low:
+            return self.held & (1 << k) - 1
+        return self.held >> self.n - k if self.n >= k else self.held << k - self.n
+
+    def align(self) -> None:
+        """Skip to the next whole byte."""
+        self.read(self.n % 8)
+
+    def place(self) -> int:
+        """Bytes that are read, a part of one included."""
+        return self.at - self.n // 8
+
+    def seek(self, place: int) -> None:
+        self.at, self.held, self.n = place, 0, 0
+
 
 class Prefix:
-    """A canonical prefix code from lengths: shorter first, then by symbol, most significant bit first."""
+    """A canonical prefix code from lengths: shorter first, then by symbol, most significant bit first. A table tells
+    codes of up to WIDTH bits at once, longer ones are sought."""
+
+    WIDTH = 10
 
     def __init__(self, lengths: list[int]) -> None:
         self.codes: dict[tuple[int, int], int] = {}
-        code = 0
-        for size in range(1, max(lengths, default=0) + 1):
-            for symbol, n in enumerate(lengths):
-                if n == size:
-                    self.codes[size, code] = symbol
-                    code += 1
+        self.tables: dict[bool, list] = {}
+        code, top = 0, max(lengths, default=0)
+        by_size: list[list[int]] = [[] for _ in range(top + 1)]
+        for symbol, n in enumerate(lengths):
+            by_size[n].append(symbol)
+        for size in range(1, top + 1):
+            for symbol in by_size[size]:
+                self.codes[size, code] = symbol
+                code += 1
             code <<= 1
 
     @classmethod
@@ -275,7 +305,22 @@ class Prefix:
         out.codes[0, 0] = symbol
         return out
 
+    def _table(self, low: bool) -> list:
+        table: list = [None] * (1 << self.WIDTH)
+        for (size, code), symbol in self.codes.items():
+            if size <= self.WIDTH and code < 1 << size:
+                for rest in range(1 << self.WIDTH - size):
+                    at = int(f"{code:0{size}b}"[::-1], 2) | rest << size if low and size else code << self.WIDTH - size | rest
+                    table[at] = (symbol, size)
+        self.tables[low] = table
+        return table
+
     def next(self, bits: Bits) -> int:
+        found = (self.tables.get(bits.low) or self._table(bits.low))[bits.peek(self.WIDTH)]
+        if found:
+            if found[1]:
+                bits.read(found[1])
+            return found[0]
         size = code = 0
         while (size, code) not in self.codes:
             code = code << 1 | bits.read(1)
@@ -493,7 +538,7 @@ def inflate64(data: bytes) -> bytes:
     while True:
         last, kind = bits.read(1), bits.read(2)
         if kind == 0:
-            bits.read(bits.n % 8)
+            bits.align()
             n = bits.read(16)
             bits.read(16)
             out += bytes(bits.read(8) for _ in range(n))

@@ -7,9 +7,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, expand, inflate, larc_lz5, larc_lzs, lzh_static, lzw, ms_zip, rle90, squeeze, unix_compress
+from ...functions.codecs import arc_crunch, arj_fastest, lh1, lzx, quantum
+from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, WrongPassword, aes_cbc, crc16, expand, inflate, larc_lz5, larc_lzs, lzh_static, lzw, ms_zip, rle90, squeeze, unix_compress
+from ...functions.rar import Rar3, Rar5, rar3_plain, rar5_checksum, rar5_key
 from ..source import Source
-from .entry import Corrupt, Entry, crc32_is, dos_time, unix_time
+from .entry import Corrupt, Entry, crc32_is, dos_time, file_time, unix_time
 
 #: Names of methods and systems.
 ARC = {1: "None", 2: "None", 3: "RLE", 4: "Squeeze", 5: "Crunch", 6: "Crunch", 7: "Crunch", 8: "Crunch", 9: "Squash", 10: "Crush", 11: "Distill"}
@@ -84,6 +86,8 @@ def lha(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                     return data
                 if method in (b"-lh4-", b"-lh5-", b"-lh6-", b"-lh7-"):
                     return lzh_static(data, size, {b"-lh4-": 12, b"-lh5-": 13, b"-lh6-": 15, b"-lh7-": 16}[method])
+                if method == b"-lh1-":
+                    return lh1(data, size)
                 if method == b"-lzs-":
                     return larc_lzs(data, size)
                 if method == b"-lz5-":
@@ -124,6 +128,9 @@ def arc(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                     return rle90(data)
                 if method == 4:
                     return rle90(squeeze(data))
+                if method in (5, 6, 7):
+                    plain = arc_crunch(data, method == 7)
+                    return plain if method == 5 else rle90(plain)
                 if method == 8:
                     return rle90(unix_compress(b"\x1f\x9d" + bytes([data[0] | 0x80]) + data[1:]))
                 if method == 9:
@@ -197,7 +204,9 @@ def arj(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                 return data
             if method in (1, 2, 3):
                 return _arj_lzh(data, size)
-            raise Unsupported("ARJ method 4")
+            if method == 4:
+                return arj_fastest(data, size)
+            raise Unsupported(f"ARJ method {method}")
 
         unix = system in (2, 8)
         yield Entry(title, size, packed, ARJ.get(method, f"Method {method}"), directory=kind == 3 or None, modified=unix_time(stamp) if unix else dos_time(stamp), mode=mode if unix else None, dos=None if unix else mode & 255, comment=comment.split(b"\0")[0].decode("latin-1") or None, encrypted=bool(flags & 1) or None, offset=at, decode=None if kind == 3 else decode, check=crc32_is(crc))
@@ -229,17 +238,22 @@ def cab(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
     def folder(k: int) -> bytes:
         if k not in plain:
             place, count, kind = folders[k]
-            place, blocks = base + place, []
+            place, blocks, sizes_ = base + place, [], []
             for _ in range(count):
-                _, packed, _ = src.get("<IHH", place)
+                _, packed, plain_size = src.get("<IHH", place)
                 blocks.append(src.need(place + 8 + lead_data, packed))
+                sizes_.append(plain_size)
                 place += 8 + lead_data + packed
             if kind & 15 == 0:
                 out = b"".join(blocks)
             elif kind & 15 == 1:
                 out = ms_zip(blocks)
+            elif kind & 15 == 2:
+                out = quantum(blocks, sizes_, kind >> 8 & 31)
+            elif kind & 15 == 3:
+                out = lzx(b"".join(blocks), sum(sizes_), kind >> 8 & 31)
             else:
-                raise Unsupported({2: "Quantum", 3: "LZX"}.get(kind & 15, f"method {kind & 15}"))
+                raise Unsupported(f"method {kind & 15}")
             plain.clear()
             plain[k] = out
         return plain[k]
@@ -294,36 +308,90 @@ def alzip(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         at += e.packed or 0
 
 
+class _Run:
+    """The files of a solid run: each is decoded once those before it are, and kept until the next one is wanted."""
+
+    def __init__(self, unpacker) -> None:
+        self.new, self.files, self.at, self.engine, self.held = unpacker, [], 0, None, b""
+
+    def add(self, data, size: int):
+        self.files.append((data, size))
+        k = len(self.files) - 1
+
+        def decode(password: bytes | None) -> bytes:
+            if self.engine is None or k < self.at - 1:
+                self.engine, self.at = self.new(), 0
+            while self.at <= k:
+                data, size = self.files[self.at]
+                self.held = self.engine.decode(data(password), size)
+                self.at += 1
+            return self.held
+
+        return decode
+
+
 def rar(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
-    """Blocks of RAR 1.5 to 4: entries and, where it is stored, content."""
-    at = base + 7
-    while at + 7 <= src.size:
-        _, kind, flags, n = src.get("<HBHH", at)
-        more = src.get("<I", at + 7)[0] if flags & 0x8000 or kind == 0x74 else 0
-        if kind == 0x73 and flags & 0x80:
-            raise Unsupported("encrypted headers")
-        if kind == 0x7B or n < 7:
-            return
-        if kind == 0x74:
-            packed, size, system, crc, stamp, version, method, m, attributes = src.get("<IIBIIBBHI", at + 7)
-            place = at + 32
-            if flags & 0x100:
-                high = src.get("<II", place)
-                packed, size, place = packed | high[0] << 32, size | high[1] << 32, place + 8
-            raw = src.need(place, m)
-            title: bytes | str = raw.split(b"\0")[0]
-            e = Entry(title, size, packed, f"{RAR_METHODS.get(method, method)} v{version // 10}.{version % 10}", modified=dos_time(stamp), directory=flags & 0xE0 == 0xE0 or None, encrypted=bool(flags & 4) or None, separators="\\/", offset=at + n, extras={"RARFlags": str(flags), "RAROS": str(system), "RAROSName": RAR_SYSTEMS.get(system, str(system)), "RARCRC32": str(crc)})
-            if system == 3:
-                e.mode = attributes & 0xFFFF
-            else:
-                e.dos = attributes & 255
-            e.solid = 0 if flags & 0x10 else None
-            if not e.directory:
-                e.decode = (lambda _, body=at + n, packed=packed: src.need(body, packed)) if method == 0x30 and not flags & 7 else _not_here("RAR compression")
-                e.check = crc32_is(crc)
-            yield e
-            more = packed
-        at += n + more
+    """Blocks of RAR 1.5 to 4, also over volumes, whose parts of a file are put together; methods of RAR 2.9 and later
+    are decoded."""
+    pending: tuple | None = None
+    run, count = _Run(Rar3), 0
+    for volume, part in enumerate(src.volumes()):
+        at = (base if not volume else max(0, part.find(b"Rar!\x1a\7\0"))) + 7
+        while at + 7 <= part.size:
+            _, kind, flags, n = part.get("<HBHH", at)
+            more = part.get("<I", at + 7)[0] if flags & 0x8000 or kind == 0x74 else 0
+            if kind == 0x73 and flags & 0x80:
+                raise Unsupported("encrypted headers")
+            if kind == 0x7B or n < 7:
+                break
+            if kind == 0x74:
+                packed, size, system, crc, stamp, version, method, m, attributes = part.get("<IIBIIBBHI", at + 7)
+                place = at + 32
+                if flags & 0x100:
+                    high = part.get("<II", place)
+                    packed, size, place = packed | high[0] << 32, size | high[1] << 32, place + 8
+                raw = part.need(place, m)
+                salt = part.need(place + m, 8) if flags & 0x400 else b""
+                more = packed
+                if flags & 1 and pending:
+                    e, places = pending
+                else:
+                    e, places = Entry(raw.split(b"\0")[0], size, 0, f"{RAR_METHODS.get(method, method)} v{version // 10}.{version % 10}", modified=dos_time(stamp), directory=flags & 0xE0 == 0xE0 or None, encrypted=bool(flags & 4) or None, separators="\\/", offset=at + n, extras={"RARFlags": str(flags), "RAROS": str(system), "RAROSName": RAR_SYSTEMS.get(system, str(system))}), []
+                    if system == 3:
+                        e.mode = attributes & 0xFFFF
+                    else:
+                        e.dos = attributes & 255
+                    if not flags & 0x10:
+                        run, count = _Run(Rar3), count + 1
+                    e.solid = count
+                places.append((part, at + n, packed))
+                e.packed += packed
+                e.extras["RARCRC32"] = str(crc)
+                pending = (e, places) if flags & 2 else None
+                if not pending:
+                    if not e.directory:
+                        e.check = crc32_is(crc)
+
+                        def data(password: bytes | None, places=places, flags=flags, salt=salt) -> bytes:
+                            body = b"".join(p.need(a, k) for p, a, k in places)
+                            if not flags & 4:
+                                return body
+                            if password is None:
+                                raise WrongPassword("a password is needed")
+                            return rar3_plain(body, password.decode(), salt)
+
+                        if method == 0x30:
+                            e.decode = lambda password, data=data, size=size: data(password)[:size]
+                        elif version < 29:
+                            e.decode = _not_here("compression before RAR 2.9")
+                        else:
+                            e.decode = run.add(data, size)
+                    yield e
+            at += n + more
+    if pending:
+        e = pending[0]
+        e.corrupted, e.decode = True, _not_here("volumes that are missing")
+        yield e
 
 
 def vint(src: Source, at: int) -> tuple[int, int]:
@@ -340,61 +408,122 @@ def vint(src: Source, at: int) -> tuple[int, int]:
 
 
 def rar5(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
-    at = base + 8
-    while at + 7 <= src.size:
-        n, start = vint(src, at + 4)
-        if zlib.crc32(src.need(at + 4, start - at - 4 + n)) != src.get("<I", at)[0]:
-            raise Corrupt("header checksum differs")
-        kind, p = vint(src, start)
-        flags, p = vint(src, p)
-        extra = size = 0
-        if flags & 1:
-            extra, p = vint(src, p)
-        if flags & 2:
-            size, p = vint(src, p)
-        body = start + n
-        if kind == 5:
-            return
-        if kind == 4:
-            raise Unsupported("encrypted headers")
-        if kind == 2:
-            own, p = vint(src, p)
-            plain, p = vint(src, p)
-            attributes, p = vint(src, p)
-            e = Entry(b"", None if own & 8 else plain, size, directory=bool(own & 1) or None, offset=body)
-            if own & 2:
-                e.modified, p = unix_time(src.get("<I", p)[0]), p + 4
-            if own & 4:
-                e.check, p = crc32_is(src.get("<I", p)[0]), p + 4
-            method, p = vint(src, p)
-            system, p = vint(src, p)
-            m, p = vint(src, p)
-            e.name = src.need(p, m).decode("utf-8", "replace")
-            level = method >> 7 & 7
-            e.method = RAR5_METHODS[level] if level < 6 else f"Method {level}"
-            e.extras |= {"RAR5OS": str(system), "RAR5OSName": ("Windows", "Unix")[system] if system < 2 else str(system)}
-            if system == 1:
-                e.mode = attributes
-            else:
-                e.dos = attributes & 255
-            e.solid = 0 if method & 0x40 else None
-            p, end = body - extra, body
-            while p < end:
-                k, q = vint(src, p)
-                tag, r = vint(src, q)
-                if tag == 1:
-                    e.encrypted = True
-                elif tag == 5:
-                    which, r = vint(src, r)
-                    _, r = vint(src, r)
-                    m, r = vint(src, r)
-                    e.extras["RAR5RedirectionType"] = str(which)
-                    e.link, e.hard_link = src.need(r, m).decode("utf-8", "replace"), which == 4 or None
-                p = q + k
-            if not e.directory and not e.link:
-                e.decode = (lambda _, body=body, size=size: src.need(body, size)) if not level and not e.encrypted else _not_here("RAR 5 compression")
-            yield e
-        at = body + size
+    """Blocks of RAR 5, also over volumes, whose parts of a file are put together."""
+    pending: tuple | None = None
+    run, count = _Run(Rar5), 0
+    for volume, part in enumerate(src.volumes()):
+        at = (base if not volume else max(0, part.find(b"Rar!\x1a\7\1\0"))) + 8
+        while at + 7 <= part.size:
+            n, start = vint(part, at + 4)
+            if zlib.crc32(part.need(at + 4, start - at - 4 + n)) != part.get("<I", at)[0]:
+                raise Corrupt("header checksum differs")
+            kind, p = vint(part, start)
+            flags, p = vint(part, p)
+            extra = size = 0
+            if flags & 1:
+                extra, p = vint(part, p)
+            if flags & 2:
+                size, p = vint(part, p)
+            body = start + n
+            if kind == 5:
+                break
+            if kind == 4:
+                raise Unsupported("encrypted headers")
+            if kind == 2:
+                e, own = _rar5_file(part, p, body, extra, size)
+                if flags & 8 and pending:
+                    first, places, _ = pending
+                    first.packed += size
+                    first.check = e.check
+                    e = first
+                else:
+                    places = []
+                    if not own["solid"]:
+                        run, count = _Run(Rar5), count + 1
+                    e.solid = count
+                places.append((part, body, size))
+                pending = (e, places, own) if flags & 16 else None
+                if not pending:
+                    if not e.directory and not e.link:
+                        _rar5_content(e, places, own, run)
+                    yield e
+            at = body + size
+    if pending:
+        e = pending[0]
+        e.corrupted, e.decode = True, _not_here("volumes that are missing")
+        yield e
+
+
+def _rar5_file(src: Source, p: int, body: int, extra: int, packed: int) -> tuple[Entry, dict]:
+    """An entry from its header's fields, and what its content needs: level, solid, crc, and the cipher's numbers."""
+    own, p = vint(src, p)
+    plain, p = vint(src, p)
+    attributes, p = vint(src, p)
+    e = Entry(b"", None if own & 8 else plain, packed, directory=bool(own & 1) or None, offset=body)
+    more: dict = {"crc": None, "cipher": None}
+    if own & 2:
+        e.modified, p = unix_time(src.get("<I", p)[0]), p + 4
+    if own & 4:
+        more["crc"], p = src.get("<I", p)[0], p + 4
+        e.check = crc32_is(more["crc"])
+    method, p = vint(src, p)
+    system, p = vint(src, p)
+    m, p = vint(src, p)
+    e.name = src.need(p, m).decode("utf-8", "replace")
+    level = method >> 7 & 7
+    more |= {"level": level, "solid": bool(method & 0x40), "version": method & 0x3F}
+    e.method = RAR5_METHODS[level] if level < 6 else f"Method {level}"
+    e.extras |= {"RAR5OS": str(system), "RAR5OSName": ("Windows", "Unix")[system] if system < 2 else str(system)}
+    if system == 1:
+        e.mode = attributes
+    else:
+        e.dos = attributes & 255
+    p, end = body - extra, body
+    while p < end:
+        k, q = vint(src, p)
+        tag, r = vint(src, q)
+        if tag == 1:
+            e.encrypted = True
+            _, r = vint(src, r)
+            bits, r = vint(src, r)
+            more["cipher"] = (src.need(r, 1)[0], src.need(r + 1, 16), src.need(r + 17, 16), src.need(r + 33, 12) if bits & 1 else None, bool(bits & 2))
+        elif tag == 3:
+            bits, r = vint(src, r)
+            for bit, key in ((2, "modified"), (4, "created"), (8, "accessed")):
+                if bits & bit:
+                    setattr(e, key, unix_time(src.get("<I", r)[0]) if bits & 1 else file_time(src.get("<Q", r)[0]))
+                    r += 4 if bits & 1 else 8
+        elif tag == 5:
+            which, r = vint(src, r)
+            _, r = vint(src, r)
+            m, r = vint(src, r)
+            e.extras["RAR5RedirectionType"] = str(which)
+            e.link, e.hard_link = src.need(r, m).decode("utf-8", "replace"), which == 4 or None
+        p = q + k
+    return e, more
+
+
+def _rar5_content(e: Entry, places: list, own: dict, run: _Run) -> None:
+    crc, cipher = own["crc"], own["cipher"]
+    told: dict[str, bytes] = {}
+
+    def data(password: bytes | None) -> bytes:
+        body = b"".join(p.need(a, k) for p, a, k in places)
+        if not cipher:
+            return body
+        if password is None:
+            raise WrongPassword("a password is needed")
+        key, told["sums"] = rar5_key(password, cipher[1], cipher[0], cipher[3])
+        return aes_cbc(body, key, cipher[2])
+
+    if cipher and cipher[4] and crc is not None:
+        e.check = lambda content: rar5_checksum(zlib.crc32(content), told["sums"]) == crc
+    if not own["level"]:
+        e.decode = lambda password: data(password)[: e.size if e.size is not None else None]
+    elif own["version"] or e.size is None:
+        e.decode = _not_here("a later version of RAR")
+    else:
+        e.decode = run.add(data, e.size)
 
 
 def nds(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
@@ -487,7 +616,7 @@ def ppmd(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
     order = "<" if src.at(0, 4) == b"\x8f\xaf\xac\x84" else ">"
     attributes, info, n, stamp = src.get(order + "IHHI", 4)
     variant = chr(ord("A") + (info >> 12))
-    yield Entry(src.need(16, n & 0x3FFF), None, src.size - 16 - (n & 0x3FFF), f"PPMd Variant {variant}", modified=dos_time(stamp), dos=attributes & 255, decode=_not_here("PPMd"))
+    yield Entry(src.need(16, n & 0x3FFF), None, src.size - 16 - (n & 0x3FFF), f"PPMd Variant {variant}", modified=dos_time(stamp), dos=attributes & 255, decode=_not_here(f"PPMd variant {variant} as a file"))
 
 
 def powerpacker(src: Source, name: str, base: int = 0) -> Iterator[Entry]:

@@ -118,7 +118,7 @@ def _huffman(data: bytes) -> tuple[bytes, int]:
         out.append(node)
         if len(out) == 94:
             want = 94 + 2 + int.from_bytes(out[78:82], "big") + int.from_bytes(out[82:86], "big") + 2
-    return bytes(out), bits.at
+    return bytes(out), bits.place()
 
 
 def stuffit(src: Source, name: str, base: int = 0) -> Iterator[Entry]:

@@ -10,7 +10,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
+from ...functions.codecs import bcj2
 from ...functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, WrongPassword, aes_cbc, expand, inflate, inflate64
+from ...functions.ppmd import seven_zip
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, file_time
 
@@ -148,6 +152,14 @@ def _key(password: str, salt: bytes, power: int) -> bytes:
     return h.digest()
 
 
+def _summed(data: bytes, distance: int) -> bytes:
+    """Each byte is the difference to the one so many before."""
+    out = np.frombuffer(data, np.uint8).copy()
+    for k in range(distance):
+        out[k::distance] = np.cumsum(out[k::distance], dtype=np.uint64).astype(np.uint8)
+    return out.tobytes()
+
+
 def _unpacked(src: Source, base: int, f: Folder, password: bytes | None) -> bytes:
     def output(out: int) -> bytes:
         first_in = first_out = 0
@@ -179,9 +191,15 @@ def _unpacked(src: Source, base: int, f: Folder, password: bytes | None) -> byte
                 window = 0xFFFFFFFF if p == 40 else (2 | p & 1) << p // 2 + 11
                 return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": window}]).decompress(data, size)
             if ident == b"\3" or ident in BRANCHES:
-                spec = {"id": lzma.FILTER_DELTA, "dist": props[0] + 1} if ident == b"\3" else {"id": BRANCHES[ident]}
+                if ident == b"\3":
+                    return _summed(data, props[0] + 1)
+                spec = {"id": BRANCHES[ident]}
                 whole = lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 0}])
                 return lzma.decompress(whole, lzma.FORMAT_RAW, filters=[spec, {"id": lzma.FILTER_LZMA2, "preset": 0}])
+            if ident == b"\3\3\1\x1b":
+                return bcj2(*inputs, size)
+            if ident == b"\3\4\1":
+                return seven_zip(data, props[0], struct.unpack_from("<I", props, 1)[0], size)
             if ident == b"\4\1\x08":
                 return inflate(data)
             if ident == b"\4\1\x09":

@@ -7,6 +7,7 @@ import lzma
 import struct
 from collections.abc import Iterator
 
+from ...functions.codecs import implode, shrink
 from ...functions.kernels import Damaged, Unsupported, WrongPassword, expand, inflate, inflate64, zip_aes, zip_cipher
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, dos_time, file_time, unix_time
@@ -16,10 +17,14 @@ METHODS = {0: "None", 1: "Shrink", 2: "Reduce 1", 3: "Reduce 2", 4: "Reduce 3",
 SYSTEMS = ("MS-DOS", "Amiga", "OpenVMS", "Unix", "VM/CMS", "Atari ST", "OS/2", "Classic Mac OS", "Z-System", "CP/M", "Windows NTFS", "MVS", "VSE", "Acorn RISC OS", "VFAT", "alternate MVS", "BeOS", "Tandem", "OS/400", "OS X")
 
 
-def _inflated(method: int, data: bytes, size: int) -> bytes:
+def _inflated(method: int, data: bytes, size: int, flags: int = 0) -> bytes:
     try:
         if method == 0:
             return data
+        if method == 1:
+            return shrink(data, size)
+        if method == 6:
+            return implode(data, size, flags)
         if method == 8:
             return inflate(data)
         if method == 9:
@@ -118,9 +123,6 @@ def _entry(src: Source, base: int, local: int, central: dict | None) -> tuple[En
     name = e.name if isinstance(e.name, str) else e.name.decode("latin-1")
     if name.endswith("/") and not size:
         e.directory = True
-    if e.mode is not None and e.mode & 0xF000 == 0xA000:
-        e.link = src.at(start, packed).decode("utf-8", "replace") if not flags & 1 and real == 0 else ""
-
     def decode(password: bytes | None) -> bytes:
         data = src.need(start, packed)
         if flags & 1:
@@ -133,8 +135,10 @@ def _entry(src: Source, base: int, local: int, central: dict | None) -> tuple[En
                 if data[11] != (stamp >> 8 & 255 if flags & 8 else crc >> 24):
                     raise WrongPassword("wrong password")
                 data = data[12:]
-        return _inflated(real, data, size)
+        return _inflated(real, data, size, flags)
 
+    if e.mode is not None and e.mode & 0xF000 == 0xA000 and not flags & 1 and size <= 65536:
+        e.link = decode(None).decode("utf-8", "replace")
     e.decode = decode
     e.check = None if more.get("aes") == 2 else crc32_is(crc)
     return e, start + packed + ((16 if src.at(start + packed, 4) == b"PK\7\x08" else 12) if flags & 8 and not central else 0)
