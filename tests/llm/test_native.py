@@ -42,6 +42,15 @@ def test_quality_measures(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_measures_of_windows_with_equal_hashes(spark, monkeypatch):
+    """With hashes of a few bits nearly all windows collide; repeats stay exact."""
+    monkeypatch.setattr(quality, "SHORTENED", 48)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (3, 10, 60, 400)]
+    for r in quality.quality_report(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        assert r.n_repeat_words == measures(texts[r.doc_id])[4]
+
+
 def test_quality_thresholds_follow_the_group(spark):
     plain = " ".join(f"word{i} and" for i in range(40))
     rows = [(i, f"{plain} {i}", "a") for i in range(40)] + [(100 + i, f"{plain} {i} " + "# " * 60, "b") for i in range(40)] + [(200, plain + " #" * 60, "a")]
