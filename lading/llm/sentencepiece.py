@@ -132,12 +132,38 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     return grouped.select("unit", F.expr(_FOLD).alias("ids"))
 
 
+_BEST = """
+transform(array(edges), e -> transform(array(aggregate(e,
+  transform(sequence(0, char_length(unit)), i -> named_struct('score', if(i = 0, 0D, cast('-infinity' as double)), 's', -1, 'id', -1)),
+  (best, x) -> if(best[x.s].score + x.score > best[x.s + x.l].score,
+    transform(best, (b, i) -> if(i = x.s + x.l, named_struct('score', best[x.s].score + x.score, 's', x.s, 'id', x.id), b)), best))),
+  best -> reverse(aggregate(sequence(1, char_length(unit)), named_struct('at', char_length(unit), 'ids', cast(array() as array<int>)),
+    (a, k) -> if(a.at > 0, named_struct('at', best[a.at].s, 'ids', concat(a.ids, array(best[a.at].id))), a), a -> a.ids)))[0])[0]
+"""
+
+
+def best_paths(units: DataFrame, scores: dict[str, float], ids: dict[str, int], unknown: float) -> DataFrame:
+    """unit and ids of the path of the highest sum of scores (Viterbi), for models of the unigram kind, over distinct units
+    of up to LONGEST characters.
+
+    Edges of the lattice come in the order of their ends, so a fold over them has the best way to each place before any
+    edge that starts there; of equal sums the edge that starts first stays. A character without a piece costs `unknown`,
+    and -1 - its place stands for it."""
+    longest = max(map(len, scores), default=1)
+    pieces = units.sparkSession.createDataFrame([(p, float(s), ids[p]) for p, s in scores.items()], "piece string, score double, id int")
+    edges = units.select("unit", F.explode(F.expr(_LATTICE.format(longest=longest))).alias("x")).select("unit", "x.s", "x.l", "x.piece")
+    joined = edges.join(F.broadcast(pieces), "piece", "left").where("id is not null or l = 1")
+    edge = F.struct((F.col("s") + F.col("l")).alias("end"), "s", "l", F.coalesce("score", F.lit(float(unknown))).alias("score"), F.coalesce("id", -1 - F.col("s")).alias("id"))
+    grouped = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.select("unit", F.expr(_BEST).alias("ids"))
+
+
 def common_units(docs: DataFrame, model: Model, most: int = COMMON) -> dict[str, bytes]:
     """Ids (little-endian 32-bit) of the commonest units of all whole texts, encoded by the lattice."""
     whole = F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK)))
     units = docs.where("text <> ''").select(F.explode(F.regexp_extract_all(whole, F.lit(UNITS), F.lit(0))).alias("unit"))
     fit = units.where((F.char_length("unit") <= LONGEST) & ~F.col("unit").contains(MARK * 2)).groupBy("unit").count()
-    top = settle(fit.orderBy(F.desc("count"), "unit").limit(most).select("unit"))
+    top = settle(fit.orderBy(F.desc("count"), "unit").limit(most).select("unit").repartition("unit"))
     return {u: np.array([j for i in ids for j in ([i] if i >= 0 else [model.bytes_from + b for b in u[-1 - i].encode()])], "<u4").tobytes() for u, ids in lattice(top, model).collect()}
 
 
@@ -188,9 +214,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """The columns of docs without text, and ids (array of int) of each row's whole text.
 
     The same ids as the library's. A null or empty text has none; repeated rows are encoded each; an empty table gives
-    no rows."""
+    no rows; a column ids that docs has already gives way."""
     sent = _sent(docs, path)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(sent)
@@ -207,7 +233,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in keep), ids], [*keep, "ids"])
                 at = to
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
     return docs.select(*(F.col(f"`{c}`") for c in keep), "text").mapInArrow(run, f"{kinds}, ids array<int>")
 
 
@@ -227,7 +253,10 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 def piece_report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and text_sha256 of the text
-    decoded from the ids, for each row of docs (doc_id, text)."""
+    decoded from the ids, for each row of docs (doc_id, text).
+
+    A null or empty text has no pieces; repeated rows are encoded each, very long texts whole; an empty table gives no
+    rows; other columns are ignored."""
     sent = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
