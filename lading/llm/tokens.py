@@ -163,7 +163,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
     """Write the ids of docs (doc_id, text), an end id behind each text, in ascending doc_id order, and return the
     settled list of files: part, seq, file, docs, tokens.
 
-    A range of ids goes to a partition, is sorted there (nulls first, rows of one id by their text) and written as
+    A range of ids goes to a partition, is sorted there (nulls first, rows of one id by a hash of their text, by which
+    they are spread too if there are many) and written as
     files of at most FILE_TOKENS; a task that runs again writes the same bytes and renames them into place. folder is a
     URI that all executors reach. An empty or null text has just the end id."""
 
@@ -198,7 +199,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
             yield write()
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return settle(ordered.mapInArrow(run, "part int, seq int, file string, docs long, tokens long"))
 
 
