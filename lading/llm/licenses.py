@@ -30,6 +30,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
 )
 
 #: Words in a shingle, and the share of a template's shingles that a match has at least.
@@ -146,6 +151,19 @@ class Templates:
                     yield int(text[lo]), t, hit[lo:hi][np.isin(own, hashes)]
 
 
+#: Templates that a table may hold: they travel with each task.
+MOST_TEMPLATES = 10_000
+
+
+def templates_from(table: DataFrame) -> tuple[tuple[str, str], ...]:
+    """Templates from a table (license, text): whole license texts or notices. Rows with nulls or of fewer than WORDS
+    words are left out, repeated ones count once; more than MOST_TEMPLATES are refused."""
+    rows = table.where("license is not null and text is not null").select("license", "text").distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return tuple(sorted((r[0], r[1]) for r in rows if len(words(r[1])) >= WORDS))
+
+
 def shortest(places: list[int], held: list[bytes]) -> tuple[int, int]:
     """The first and last place of the shortest run of places that holds every shingle held, the first of equals."""
     need, counts, lo, best = len(set(held)), {}, 0, (places[0], places[-1])
@@ -198,15 +216,18 @@ def matches(texts: list[str], templates: Templates) -> list[list[tuple[str, floa
     return [[(name, v[0], v[2], v[3]) for name, v in sorted(o.items())] for o in out]
 
 
-def license_report(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def license_report(docs: DataFrame, templates: tuple[tuple[str, str], ...] | DataFrame = TEMPLATES) -> DataFrame:
     """A row for each license found in a row of docs (doc_id, text): doc_id, license, containment, first_word and
     after_word (words as words() has them, of the best place, the first of equals).
 
-    One pass over whole texts without a shuffle; templates are a parameter and travel with the task. Null, empty and
+    One pass over whole texts without a shuffle; templates are a parameter, a table (license, text) too, and are sent to
+    each worker once. Null, empty and
     shorter texts have none; repeated rows report each; an empty table gives no rows; other columns are ignored."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates_from(templates) if isinstance(templates, DataFrame) else templates))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates)
+        known = sent.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows = [(i, *m) for i, ms in zip(ids, matches([t.as_py() or "" for t in batch.column("text")], known), strict=True) for m in ms]

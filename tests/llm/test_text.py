@@ -312,3 +312,107 @@ def test_embeddings_over_many_lists(spark, monkeypatch, dim, kind):
         got = np.array([r.n_links for r in sorted(embeddings.linked(table, reach=reach).collect())])
         assert (got <= want).all() and got.sum() % 2 == 0
         assert got.sum() >= (1 if reach or dim < 32 else 0.99) * want.sum()
+
+
+def test_toxicity_is_brute_force(spark):
+    """Scores as plain Python counts, scales and learns them, from the rows that may be learned from."""
+    import math
+
+    rng = np.random.default_rng(3)
+    bad, good = ["vile", "stupid", "hate"], ["kind", "lovely", "river"]
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 else good, 4)), int(i % 3 == 0)) for i in range(60)]
+    docs_ = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, "zzz"), (None, "vile"), (500, None), (501, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows] + [(7, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    got = {(r.doc_id, r.held_out): r.score for r in toxicity.toxicity_report(docs_, labels).collect() if r.doc_id != 7}
+
+    def cells(text):
+        code = [ord(c) for c in f" {text.lower()} "]
+        out = set()
+        for k in toxicity.LENGTHS:
+            for i in range(len(code) - k + 1):
+                h = 0
+                for c in code[i : i + k]:
+                    h = (h * 1_000_003 + c) * 0x2545F4914F6CDD1D % 2**64
+                out.add(h * 0x9E3779B97F4A7C15 % 2**64 >> 44)
+        return out
+
+    learn = [(cells(t), k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 != 2 and i != 7]
+    seven = next(t for i, t, _ in rows if i == 7)
+    if zlib.crc32(b"7") % 4 != 2:
+        learn.append((cells(min(seven, "zzz")), 0))
+    share = sum(k for _, k in learn) / len(learn)
+    count = [collections.Counter(c for cs, k in learn if k == want for c in cs) for want in (0, 1)]
+    seen = set(count[0]) | set(count[1])
+    total = [sum(c.values()) + toxicity.CELLS for c in count]
+    ratio = {c: math.log((count[1][c] + 1) / total[1]) - math.log((count[0][c] + 1) / total[0]) for c in seen}
+    used = {c for c in seen if count[0][c] + count[1][c] >= toxicity.LEAST_ROWS and abs(ratio[c]) >= toxicity.LEAST_RATIO}
+    n = [sum(k == want for _, k in learn) for want in (0, 1)]
+    w, b = dict.fromkeys(used, 0.0), math.log(share / (1 - share))
+    m, v, mb, vb = dict.fromkeys(used, 0.0), dict.fromkeys(used, 0.0), 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        g, gb = {c: toxicity.PENALTY * w[c] for c in used}, 0.0
+        for cs, k in learn:
+            off = (share if k else 1 - share) / n[k] * (1 / (1 + math.exp(-(b + sum(w[c] * ratio[c] for c in cs & used)))) - k)
+            gb += off
+            for c in cs & used:
+                g[c] += off * ratio[c]
+        for c in used:
+            m[c], v[c] = 0.9 * m[c] + 0.1 * g[c], 0.999 * v[c] + 0.001 * g[c] ** 2
+            w[c] -= toxicity.RATE * (m[c] / (1 - 0.9**step)) / (math.sqrt(v[c] / (1 - 0.999**step)) + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        b -= toxicity.RATE * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.999**step)) + 1e-8)
+    for i, t in [(i, t) for i, t, _ in rows if i != 7] + [(500, ""), (501, "")]:
+        want = 1 / (1 + math.exp(-(b + sum(w[c] * ratio[c] for c in cells(t) & used))))
+        assert abs(got[i, zlib.crc32(str(i).encode()) % 4 == 2] - want) < 1e-4
+    none = toxicity.toxicity_report(docs_, labels.limit(0)).collect()
+    assert len(none) == 64 and len({r.score for r in none}) == 1
+    assert toxicity.toxicity_report(docs_.limit(0), labels).count() == 0
+
+
+def test_learning_is_bounded_in_characters(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHARS_A_CLASS", 100)
+    docs_ = spark.createDataFrame([(i, "vile " * 5 if i % 2 else "kind " * 5) for i in range(40)] + [(41, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, toxic int")
+    once, again = ([tuple(r) for r in toxicity.toxicity_report(docs_.repartition(n), labels).orderBy("doc_id").collect()] for n in (1, 5))
+    assert once == again and len(once) == 41
+
+
+def test_best_paths(spark):
+    """Viterbi by the fold against all ways to cut a word."""
+    rng = np.random.default_rng(2)
+    pieces = {p: float(-rng.integers(1, 90)) / 8 for p in ("a", "b", "ab", "ba", "aab", "abb", "bba", "c", "cab")}
+    ids = {p: k for k, p in enumerate(pieces)}
+    units = ["".join(rng.choice(list("abcx"), n)) for n in range(1, 11) for _ in range(4)]
+
+    def score(path):
+        return sum(pieces.get(p, -20.0) for p in path)
+
+    def ways(u):
+        return [[]] if not u else [[u[:n], *rest] for n in range(1, min(3, len(u)) + 1) if u[:n] in pieces or n == 1 for rest in ways(u[n:])]
+
+    got = {r.unit: r.ids for r in sentencepiece.best_paths(spark.createDataFrame([(u,) for u in set(units)], "unit string"), pieces, ids, -20.0).collect()}
+    back = {k: p for p, k in ids.items()}
+    for u in units:
+        path = [back[i] if i >= 0 else u[-1 - i] for i in got[u]]
+        assert "".join(path) == u and abs(score(path) - max(map(score, ways(u)))) < 1e-9
+
+
+def test_a_column_named_ids_gives_way(spark):
+    table = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, ids string")
+    assert sentencepiece.encoded(table, PIECES).columns == ["doc_id", "ids"]
+
+
+def test_rows_of_one_id_in_many_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokens, "FILE_TOKENS", 50)
+    table = spark.createDataFrame([(5, f"word {i} and more") for i in range(60)] + [(None, "none")] * 3 + [(1, "one")], "doc_id long, text string")
+    files = tokens.write_tokens(table, WORDS, 1, f"file://{tmp_path}/t")
+    assert files.count() > 4 and files.where("tokens > 50").isEmpty()
+    rows = sorted(tokens.read_tokens(files, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 3 + [1] + [5] * 60
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_licenses_from_a_table(spark):
+    table = spark.createDataFrame([("Own-1.0", "you may do with this work as you please"), ("Short", "too short"), (None, "a b c d e f"), ("Own-1.0", "you may do with this work as you please")], "license string, text string")
+    rows = licenses.license_report(spark.createDataFrame([(1, "Note: you may do with this work as you please."), (2, "nothing")], "doc_id long, text string"), table).collect()
+    assert [(r.doc_id, r.license, r.containment) for r in rows] == [(1, "Own-1.0", 1.0)]
