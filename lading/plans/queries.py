@@ -79,6 +79,51 @@ for _kind in pack.ONE:
     SQL[f"{_kind}_streams"] = f"select 'doc' || doc_id || '.txt.{_kind}' as archive, 'doc' || doc_id || '.txt' as name, cast(strlen(text) as bigint) as bytes, md5(text) as content_md5, 'ok' as status from documents"
 
 
+_KIND = "case (doc_id // 50) % 11 " + " ".join(f"when {i} then '{'/arc.sar' if k == 'sar' else '.' + k}'" for i, k in enumerate(pack.MIXED)) + " end"
+
+
+@query(f"""select 'docs-' || (doc_id // 50) || {_KIND} as archive, 'D' || lpad(cast(doc_id as varchar), 7, '0') || '.TXT' as name,
+ cast(strlen(text) as bigint) as file_size, md5(text) as content_md5, 'ok' as status from documents""")
+def mixed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of eleven formats, told apart by their content."""
+    docs = t(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("docs-"), F.floor(F.col("doc_id") / 50).cast("string")).alias("archive"), F.col("doc_id").alias("at"), F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".TXT")).alias("name"), F.encode("text", "UTF-8").alias("data"))
+    entries = list_entries(pack.mixed(rows), Options(content=True, test=True))
+    return entries.select("archive", "name", "file_size", F.md5("content").alias("content_md5"), "status")
+
+
+@query("select format, count(*) as archives, cast(sum(n) as bigint) as entries from (select case (a) % 11 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(("7-Zip", "ISO 9660", "RAR 5", "LZH", "ARJ", "Zoo", "ARC", "CAB", "SAR", "LBR", "XAR"))) + " end as format, n from (select doc_id // 50 as a, count(*) as n from documents group by a)) group by format")
+def mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("docs-"), F.floor(F.col("doc_id") / 50).cast("string")).alias("archive"), F.col("doc_id").alias("at"), F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".TXT")).alias("name"), F.encode("text", "UTF-8").alias("data"))
+    return list_entries(pack.mixed(rows)).groupBy("format").agg(F.count_distinct("archive").alias("archives"), F.count("*").alias("entries"))
+
+
+@query("select name, compression, cast(count(*) as bigint) as entries, cast(sum(strlen(text)) as bigint) as bytes, 'ok' as status from (select case i % 4 when 0 then 'None' when 1 then 'Deflate' when 2 then 'Bzip2' else 'LZMA' end as compression, 'Zip' as name, text from (select text, row_number() over (partition by doc_id // 50 order by doc_id) - 1 as i from documents)) group by all")
+def zip_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _documents(spark, sf_dir, "methods.zip", Options(test=True))
+    return entries.groupBy(F.col("format").alias("name"), "compression", "status").agg(F.count("*").alias("entries"), F.sum("file_size").alias("bytes"))
+
+
+@query("select 'right' as password, 'ok' as status, count(*) as entries from documents union all select 'none', 'password', count(*) from documents")
+def password_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encrypted entries with the right password, and without one."""
+    files = pack.packed(pack.from_text(t(spark, sf_dir, "documents"), "doc_id", "text", "docs"), "locked.zip")
+    read = lambda label, password: list_entries(files, Options(test=True, password=password)).groupBy("status").agg(F.count("*").alias("entries")).select(F.lit(label).alias("password"), "status", "entries")
+    return read("right", pack.PASSWORD.decode()).unionByName(read("none", None))
+
+
+@query("""select 'c' || c_custkey || case c_custkey % 3 when 0 then '.macbinary.bin' when 1 then '.applesingle.as' else '.binhex.hqx' end as archive, 'c' || c_custkey as name, fork as is_resource_fork,
+ md5(case when fork then c_mktsegment || c_custkey else c_name || repeat('x', cast(c_custkey % 200 as integer)) end) as content_md5 from customer, (values (true), (cast(null as boolean))) f(fork)""")
+def forked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two forks in three formats."""
+    k = F.col("c_custkey")
+    rows = t(spark, sf_dir, "customer").select(k, F.concat(F.lit("c"), k.cast("string")).alias("name"), F.encode(F.concat("c_name", F.repeat(F.lit("x"), (k % 200).cast("int"))), "UTF-8").alias("data"), F.encode(F.concat("c_mktsegment", k.cast("string")), "UTF-8").alias("resource"))
+    files = [pack.forked(rows.where(k % 3 == i), kind) for i, kind in enumerate(pack.FORKED)]
+    entries = list_entries(files[0].unionByName(files[1]).unionByName(files[2]), Options(content=True))
+    return entries.select("archive", "name", "is_resource_fork", F.md5("content").alias("content_md5"))
+
+
 @query("select level, format, cast(count(*) as bigint) as entries, cast(sum(bytes) as bigint) as bytes from (select 0 as level, 'Gzip' as format, cast(null as bigint) as bytes, doc_id // 50 from documents group by all union all select 1, 'Tar', strlen(text), doc_id from documents) group by level, format")
 def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tar in Gzip: the outer entry and the inner ones."""
