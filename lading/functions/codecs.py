@@ -509,3 +509,71 @@ def arc_crunch(data: bytes, newer: bool) -> bytes:
         if len(out) > LIMIT.get():
             raise TooLarge("too many bytes come out")
     return bytes(out)
+
+
+# Compact Pro
+
+
+def compact_rle(data: bytes) -> bytes:
+    """0x81 0x82 and a count repeats the byte before, a count of zero is the two bytes themselves; a second 0x81 stays
+    half a mark."""
+    out, at, half, n = bytearray(), 0, False, len(data)
+    while half or at < n:
+        if half:
+            b, half = 0x81, False
+        else:
+            b, at = data[at], at + 1
+        if b != 0x81 or at >= n:
+            out.append(b)
+            continue
+        b, at = data[at], at + 1
+        if b == 0x82:
+            if at >= n:
+                raise Damaged("a run without its count")
+            count, at = data[at], at + 1
+            if count:
+                if not out:
+                    raise Damaged("a run of nothing")
+                out += out[-1:] * (count - 1)
+            else:
+                out += b"\x81\x82"
+        elif b == 0x81:
+            out.append(0x81)
+            half = True
+        else:
+            out += bytes([0x81, b])
+    return bytes(out)
+
+
+def compact_lzh(data: bytes, most: int) -> bytes:
+    """Blocks of literals, lengths and places, each with its three codes, until the data end; a window of 8 KiB."""
+    bits, out, limit = Bits(data + bytes(8)), bytearray(), 8 * len(data)
+
+    def code(count: int) -> Prefix:
+        pairs = bits.read(8)
+        if 2 * pairs > count:
+            raise Damaged("no such code")
+        lengths = [bits.read(4) for _ in range(2 * pairs)]
+        return Prefix(lengths + [0] * (count - len(lengths)))
+
+    while len(out) < most and 8 * bits.at - bits.n < limit:
+        literal, length, far, weight = code(256), code(64), code(128), 0
+        while weight < 0x1FFF0 and len(out) < most and 8 * bits.at - bits.n < limit:
+            last = 8 * bits.at - bits.n > limit - 8  # what fills the last byte may be no symbol
+            try:
+                if bits.read(1):
+                    out.append(literal.next(bits))
+                    weight += 2
+                else:
+                    n = length.next(bits)
+                    _copied(out, far.next(bits) << 6 | bits.read(6), n)
+                    weight += 3
+            except Damaged:
+                if not last:
+                    raise
+                break
+        if len(out) < most:
+            odd = bits.place() % 2
+            bits.align()
+            bits.read(24 if odd else 16)
+    return bytes(out[:most])

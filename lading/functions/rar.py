@@ -476,6 +476,124 @@ class Rar3:
         self.filters.append((at, length, self.programs[which][0], registers))
 
 
+class _Channel:
+    """What RAR 2 foretells of a channel of sound: weights for the last differences that follow the errors."""
+
+    def __init__(self) -> None:
+        self.weights, self.differences, self.errors, self.count, self.last, self.change = [0] * 5, [0] * 4, [0] * 11, 0, 0, 0
+
+    def next(self, told: int, other: int) -> int:
+        """The byte that is told as a difference; other: how the channel before has changed."""
+        signed = lambda b: b - 256 if b > 127 else b
+        self.count += 1
+        d = self.differences
+        d[:] = [self.change, self.change - d[0], d[1], d[2]]
+        terms = [*d, other]
+        guess = 8 * self.last + sum(w * x for w, x in zip(self.weights, terms, strict=True)) >> 3 & 255
+        byte, off = guess - told & 255, signed(told) << 3
+        self.errors[0] += abs(off)
+        for k, x in enumerate(terms):
+            self.errors[2 * k + 1] += abs(off - x)
+            self.errors[2 * k + 2] += abs(off + x)
+        self.change, self.last = signed(byte - self.last & 255), byte
+        if not self.count & 31:
+            best = min(range(11), key=self.errors.__getitem__)
+            self.errors = [0] * 11
+            k = (best - 1) // 2
+            if best and best % 2 and self.weights[k] >= -16:
+                self.weights[k] -= 1
+            elif best and not best % 2 and self.weights[k] < 16:
+                self.weights[k] += 1
+        return byte
+
+
+class Rar2:
+    """The files of one solid run of RAR 2.0, one after another; decode() gives the next."""
+
+    def __init__(self) -> None:
+        self.window, self.lengths, self.tables, self.old, self.last = _Window(), [0] * 1028, None, [1, 1, 1, 1], 0
+        self.sound, self.channels, self.channel, self.change = False, [_Channel() for _ in range(4)], 0, 0
+
+    def _read_tables(self, bits: Bits) -> None:
+        self.sound = bool(bits.read(1))
+        if not bits.read(1):
+            self.lengths = [0] * 1028
+        n = 1
+        if self.sound:
+            n = bits.read(2) + 1
+            if self.channel >= n:
+                self.channel = 0
+            self.used = n
+        sizes = [257] * n if self.sound else [298, 48, 28]
+        code, out = Prefix([bits.read(4) for _ in range(19)]), []
+        while len(out) < sum(sizes):
+            k = code.next(bits)
+            if k < 16:
+                out.append(k + self.lengths[len(out)] & 15)
+            elif k == 16:
+                if not out:
+                    raise Damaged("nothing to repeat")
+                out += out[-1:] * (bits.read(2) + 3)
+            else:
+                out += [0] * (bits.read(3) + 3 if k == 17 else bits.read(7) + 11)
+        del out[sum(sizes) :]
+        self.lengths[: len(out)] = out
+        self.tables, at = [], 0
+        for k in sizes:
+            self.tables.append(Prefix(out[at : at + k]))
+            at += k
+
+    def decode(self, data: bytes, size: int) -> bytes:
+        if size > LIMIT.get():
+            raise TooLarge("too many bytes come out")
+        bits, out, old = Bits(data), self.window.out, self.old
+        start = len(out)
+        if self.tables is None:
+            self._read_tables(bits)
+        while len(out) - start < size:
+            if self.sound:
+                n = self.tables[self.channel].next(bits)
+                if n == 256:
+                    self._read_tables(bits)
+                    continue
+                channel = self.channels[self.channel]
+                out.append(channel.next(n, self.change))
+                self.change = channel.change
+                self.channel = (self.channel + 1) % self.used
+                continue
+            n = self.tables[0].next(bits)
+            if n < 256:
+                out.append(n)
+                continue
+            if n == 269:
+                self._read_tables(bits)
+                continue
+            if n == 256:
+                length, distance = self.last, old[0]
+            elif n < 261:
+                distance = old[n - 257]
+                length = _span(self.tables[2].next(bits), bits)
+                length += (distance >= 0x101) + (distance >= 0x2000) + (distance >= 0x40000)
+            elif n < 269:
+                base, k = _SHORT[n - 261]
+                length, distance = 2, base + 1 + bits.read(k)
+            else:
+                length = _span(n - 270, bits) + 1
+                base, k = _FAR[self.tables[1].next(bits)]
+                distance = base + 1 + bits.read(k)
+                length += (distance >= 0x2000) + (distance >= 0x40000)
+            old.insert(0, distance)
+            old.pop()
+            self.last = length
+            if length:
+                self.window.copy(length, distance)
+        if 8 * len(data) - 8 * bits.at + bits.n > 16:  # tables for the next file may stand at the end
+            table = self.tables[self.channel if self.sound else 0]
+            if table.next(bits) == (256 if self.sound else 269):
+                self._read_tables(bits)
+        return bytes(out[start : start + size])
+
+
 # Ciphers
 
 

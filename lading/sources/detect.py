@@ -159,7 +159,7 @@ FORMATS: tuple[Format, ...] = (
     Format("RPM", 96, _magic(b"\xed\xab\xee\xdb"), "rpm"),
     Format("XZ", 6, _magic(b"\xfd7zXZ\0"), "xz"),
     Format("SWF", 6, lambda h, n: 0 if h[:3] in (b"FWS", b"CWS") and h[3:4] and h[3] < 32 else None),
-    Format("PDF", 53, _magic(b"%PDF-")),
+    Format("PDF", 53, _magic(b"%PDF-"), "pdf"),
     Format("ALZip", 8, _magic(b"ALZ\1"), "alzip"),
     Format("CAB", 4, _magic(b"MSCF"), "cab"),
     Format("CFBF", 512, _magic(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), "cfbf"),
@@ -184,7 +184,7 @@ FORMATS: tuple[Format, ...] = (
     Format("7-Zip (self-extracting)", 0x40000, _both(_exe, _anywhere(b"7z\xbc\xaf\x27\x1c", 0x40000)), "sevenzip"),
     Format("NSIS", 0x10000, _nsis),
     Format("Gzip (self-extracting)", 5000, _both(lambda h, n: 0 if h[:2] in (b"#!", b"MZ") else None, _anywhere(b"\x1f\x8b\x08", 5000)), "gzip"),
-    Format("Compact Pro", 8, _compact_pro),
+    Format("Compact Pro", 8, _compact_pro, "compact_pro"),
     Format("ARJ", 0x8000, _arj, "arj"),
     Format("Zip (multi-part)", 8, lambda h, n: 0 if n.lower().endswith(".zip") and h[:4] == b"PK\7\x08" else None, "zip"),
     Format("ARC", 0x1D, _arc, "arc"),

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from ...functions.codecs import arc_crunch, arj_fastest, lh1, lzx, quantum
 from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, WrongPassword, aes_cbc, crc16, expand, inflate, larc_lz5, larc_lzs, lzh_static, lzw, ms_zip, rle90, squeeze, unix_compress
-from ...functions.rar import Rar3, Rar5, rar3_plain, rar5_checksum, rar5_key
+from ...functions.rar import Rar2, Rar3, Rar5, rar3_plain, rar5_checksum, rar5_key
 from ..source import Source
 from .entry import Corrupt, Entry, crc32_is, dos_time, file_time, unix_time
 
@@ -362,7 +362,7 @@ def rar(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
                     else:
                         e.dos = attributes & 255
                     if not flags & 0x10:
-                        run, count = _Run(Rar3), count + 1
+                        run, count = _Run(Rar2 if version in (20, 26) else Rar3), count + 1
                     e.solid = count
                 places.append((part, at + n, packed))
                 e.packed += packed
@@ -382,8 +382,8 @@ def rar(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
 
                         if method == 0x30:
                             e.decode = lambda password, data=data, size=size: data(password)[:size]
-                        elif version < 29:
-                            e.decode = _not_here("compression before RAR 2.9")
+                        elif version not in (20, 26) and version < 29 or flags & 4 and version < 29:
+                            e.decode = _not_here("compression or ciphers before RAR 2.0")
                         else:
                             e.decode = run.add(data, size)
                     yield e

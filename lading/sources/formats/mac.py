@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+from ...functions.codecs import compact_lzh, compact_rle
 from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, crc16_ccitt, rle90, unix_compress
 from ..source import Source
 from .entry import Corrupt, Entry, mac_time
@@ -187,3 +189,49 @@ def _tree_coded(data: bytes, size: int) -> bytes:
             node = node[bits.read(1)]
         out.append(node)
     return bytes(out)
+
+
+def compact_pro(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
+    """A directory behind the data: folders say how many entries they hold, files where their two forks are, resource
+    fork first, run lengths over LZH by flags."""
+    at = int.from_bytes(src.need(4, 4), "big")
+    count, note = src.get(">HB", at + 4)
+    left = [(at + 7 + note, count, b"")]
+
+    def walk(at: int, count: int, above: bytes) -> Iterator[tuple[int, Entry | None]]:
+        while count > 0:
+            n = src.need(at, 1)[0]
+            title = above + src.need(at + 1, n & 127)
+            at += 1 + (n & 127)
+            if n & 128:
+                (inner,) = src.get(">H", at)
+                at += 2
+                yield at, Entry(title, directory=True, encoding="mac-roman")
+                for where, e in walk(at, inner, title + b"/"):
+                    at = where
+                    yield where, e
+                count -= inner + 1
+                continue
+            _, place, finder, created, modified, more, crc, flags, rsize, dsize, rpacked, dpacked = src.get(">BI8sIIHIHIIII", at)
+            at += 45
+            count -= 1
+
+            def part(start: int, size: int, packed: int, lzh: int, flags: int = flags) -> dict:
+                def decode(_: bytes | None) -> bytes:
+                    if flags & 1:
+                        raise Unsupported("Compact Pro encryption")
+                    data = src.need(start, packed)
+                    return compact_rle(compact_lzh(data, 2 * size + 1024) if lzh else data)[:size]
+
+                return {"size": size, "packed": packed, "method": "LZH+RLE" if lzh else "RLE", "offset": start, "encrypted": bool(flags & 1) or None, "decode": decode}
+
+            own = list(_forks(title, part(place + rpacked, dsize, dpacked, flags & 4), part(place, rsize, rpacked, flags & 2), finder + more.to_bytes(2, "big"), created=mac_time(created), modified=mac_time(modified)))
+            if len(own) == 1:
+                own[0].check = lambda d, crc=crc: zlib.crc32(d) ^ 0xFFFFFFFF == crc or zlib.crc32(d) == crc
+            for e in own:
+                e.separators = "/"
+                yield at, e
+        yield at, None
+
+    for place, n, above in left:
+        yield from (e for _, e in walk(place, n, above) if e is not None)

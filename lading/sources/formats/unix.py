@@ -248,8 +248,11 @@ def warc(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         if stop < 0:
             break
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in src.at(at, stop - at).decode("utf-8", "replace").split("\r\n")[1:])}
-        body = stop + 4
-        records.append({"fields": fields, "body": body, "end": min(src.size, body + int(fields.get("content-length", 0) or 0))})
+        body, length = stop + 4, fields.get("content-length", "0") or "0"
+        if not length.isdigit():  # the record is lost, the next one is found by its mark
+            at = body
+            continue
+        records.append({"fields": fields, "body": body, "end": min(src.size, body + int(length))})
         at = records[-1]["end"]
         while src.at(at, 2) == b"\r\n":
             at += 2
@@ -280,7 +283,10 @@ def warc(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         size = r["end"] - start
         e = Entry(full, size, size, "None", offset=start, decode=_plain(src, start, size), extras={"WARCTargetURI": uri, "WARCResponseHeaders": head})
         if date := r["fields"].get("warc-date"):
-            e.modified = datetime.fromisoformat(date.replace("Z", "+00:00"))
+            try:
+                e.modified = datetime.fromisoformat(date.replace("Z", "+00:00"))
+            except ValueError:
+                e.extras["WARCDate"] = date
         if (q := asked.get(r["fields"].get("warc-concurrent-to"))) is not None:
             e.extras["WARCRequestHeaders"] = src.at(q["body"], q["end"] - q["body"]).decode("latin-1").split("\r\n\r\n")[0]
         yield e

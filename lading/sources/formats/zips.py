@@ -6,6 +6,7 @@ import bz2
 import lzma
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 from ...functions.codecs import implode, shrink
 from ...functions.kernels import Damaged, Unsupported, WrongPassword, expand, inflate, inflate64, zip_aes, zip_cipher
@@ -175,6 +176,9 @@ def parse(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         return
     end += tail_at
     count, size, start, n = src.get("<HIIH", end + 10)
+    parts = src.volumes()
+    bases = [0, *accumulate(v.size for v in parts)][: len(parts)] if len(parts) > 1 else []
+    start += _base(bases, src.get("<H", end + 6)[0])
     if src.at(end - 20, 4) == b"PK\6\7":
         where = src.get("<Q", end - 12)[0]
         if src.at(where, 4) == b"PK\6\6":
@@ -182,21 +186,26 @@ def parse(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
     shift = 0
     if src.at(start, 4) != b"PK\1\2" and count and end - size >= 0 and src.at(end - size, 4) == b"PK\1\2":
         shift = end - size - start
-    yield from _inferred(_listed(src, start + shift, count, shift, end))
+    yield from _inferred(_listed(src, start + shift, count, shift, end, bases))
 
 
-def _listed(src: Source, at: int, count: int, shift: int, end: int) -> Iterator[Entry]:
+def _base(bases: list[int], disk: int) -> int:
+    """Where a volume starts among all; places of a single file need nothing added."""
+    return bases[disk] if disk < len(bases) else 0
+
+
+def _listed(src: Source, at: int, count: int, shift: int, end: int, bases: list[int]) -> Iterator[Entry]:
     k = 0
     while k < count or (count == 0xFFFF and k >= count and src.at(at, 4) == b"PK\1\2" and at < end):
         head = src.need(at, 46)
         if head[:4] != b"PK\1\2":
             raise Corrupt("no central record")
-        made, _, flags, method, stamp, crc, packed, size, n, m, c, _, _, attributes, local = struct.unpack("<HHHHIIIIHHHHHII", head[4:])
+        made, _, flags, method, stamp, crc, packed, size, n, m, c, disk, _, attributes, local = struct.unpack("<HHHHIIIIHHHHHII", head[4:])
         central = {"system": made >> 8, "flags": flags, "method": method, "stamp": stamp, "crc": crc, "packed": packed, "size": size, "attributes": attributes, "comment": src.at(at + 46 + n + m, c).decode("utf-8", "replace")}
         more = _extras(src.at(at + 46 + n, m), Entry(b""), [i for i, v in enumerate((size, packed, local)) if v == 0xFFFFFFFF])
         central |= {"size64": more.get("size", size), "packed64": more.get("packed", packed)}
         try:
-            yield _entry(src, 0, more.get("offset", local) + shift, central)[0]
+            yield _entry(src, 0, more.get("offset", local) + shift + _base(bases, disk), central)[0]
         except Damaged:
             yield Entry(src.at(at + 46, n), size, packed, METHODS.get(method), corrupted=True)
         at += 46 + n + m + c

@@ -90,6 +90,43 @@ class Joined(Source):
         return b"".join(out)
 
 
+class Without(Source):
+    """A source with ranges (start, after) left out; a place is found among the running sizes of what is left."""
+
+    def __init__(self, inner: Source, ranges: list[tuple[int, int]]) -> None:
+        kept, at = [], 0
+        for start, after in sorted(ranges):
+            if start > at:
+                kept.append(Slice(inner, at, start - at))
+            at = max(at, after)
+        kept.append(Slice(inner, at))
+        self.joined = Joined(kept)
+        self.size = self.joined.size
+
+    def at(self, offset: int, n: int) -> bytes:
+        return self.joined.at(offset, n)
+
+
+class Sparse(Source):
+    """Parts of a source at places (place, size) of a larger one that is zero elsewhere."""
+
+    def __init__(self, inner: Source, parts: list[tuple[int, int]], size: int) -> None:
+        self.parts, self.size, self.inner, start = [], size, inner, 0
+        for place, n in parts:
+            self.parts.append((place, n, start))
+            start += n
+
+    def at(self, offset: int, n: int) -> bytes:
+        offset = max(0, offset)
+        out = bytearray(max(0, min(n, self.size - offset)))
+        for place, size, start in self.parts:
+            lo, hi = max(place, offset), min(place + size, offset + len(out))
+            if lo < hi:
+                part = self.inner.at(start + lo - place, hi - lo)
+                out[lo - offset : lo - offset + len(part)] = part
+        return bytes(out)
+
+
 class Guarded(Source):
     """Errors of the store as StoreFailure, which isn't taken for damage."""
 

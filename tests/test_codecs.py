@@ -422,3 +422,203 @@ def test_sums_and_bits():
     bits.read(3)
     bits.align()
     assert bits.read(8) == 0xAA
+
+
+def test_rar2():
+    w = Writer()
+    w.put(0, 2)
+    for _ in range(19):
+        w.put(5, 4)
+    code = Prefix([5] * 19)
+    sizes = ((298, 9), (48, 6), (28, 5))
+    for count, size in sizes:
+        for _ in range(count):
+            w.code(code, size)
+    main, far, again = (Prefix([size] * count) for count, size in sizes)
+    last = None
+    for x in parsed(TEXT, 4, 250, 4000):
+        if isinstance(x, int):
+            w.code(main, x)
+            continue
+        d, n = x
+        if last == d and d < 0x101:
+            slot, k, rest = span(n, 2)
+            w.code(main, 257), w.code(again, slot), w.put(rest, k)
+        else:
+            slot, k, rest = span(n, 3)
+            w.code(main, 270 + slot), w.put(rest, k)
+            slot = max(i for i, (base, _) in enumerate(rar._FAR[:48]) if base < d)
+            base, k = rar._FAR[slot]
+            w.code(far, slot), w.put(d - 1 - base, k)
+        last = d
+    assert rar.Rar2().decode(w.done(), len(TEXT)) == TEXT
+
+
+def test_compact_pro():
+    plain = b"\x81\x82" + b"a" * 30 + b"\x81\x81b" + b"\x81"
+    told = b"\x81\x82\x00" + b"a\x81\x82\x1e" + b"\x81\x81" + b"\x62" + b"\x81"
+    assert codecs.compact_rle(told)[:2] == b"\x81\x82" and codecs.compact_rle(b"a\x81\x82\x1e") == b"a" * 30
+    assert codecs.compact_rle(b"\x81\x81\x82\x05") == b"\x81" * 5 and plain
+    w = Writer()
+    for count, size in ((256, 8), (64, 6), (128, 7)):
+        w.put(count // 2, 8)
+        for _ in range(count):
+            w.put(size, 4)
+    literal, length, far = Prefix([8] * 256), Prefix([6] * 64), Prefix([7] * 128)
+    data = b"plain text without marks, plain text without marks"
+    for x in parsed(data, 3, 63, 8000):
+        if isinstance(x, int):
+            w.put(1, 1), w.code(literal, x)
+        else:
+            w.put(0, 1), w.code(length, x[1]), w.code(far, x[0] >> 6), w.put(x[0] & 63, 6)
+    packed = w.done()
+    assert codecs.compact_lzh(packed, len(data)) == data
+    record = bytes([5]) + b"a.txt" + b"\1" + struct.pack(">I8sIIHIHIIII", 8, b"TEXTlade", 0, 0, 0, zlib.crc32(data), 4, 0, len(data), 0, len(packed))
+    folder = bytes([0x81]) + b"d" + struct.pack(">H", 1)
+    whole = b"\1\1\0\0" + struct.pack(">I", 8 + len(packed)) + packed + bytes(4) + struct.pack(">HB", 2, 0) + folder + record
+    rows = list(rows_of(Source(whole), "x.cpt", Options(content=True, test=True)))
+    assert [(r["name"], r["content"], r["status"]) for r in rows] == [("d", None, "not_tested"), ("d/a.txt", data, "ok")]
+
+
+def test_sources_with_ranges():
+    from lading.sources.source import Sparse, Without
+
+    s = Without(Source(bytes(range(30))), [(5, 10), (20, 25)])
+    assert (s.size, s.at(3, 4), s.at(13, 5)) == (20, bytes([3, 4, 10, 11]), bytes([18, 19, 25, 26, 27]))
+    s = Sparse(Source(b"abcdef"), [(2, 3), (10, 3)], 15)
+    assert s.at(0, 15) == b"\0\0abc" + bytes(5) + b"def\0\0" and s.at(3, 8) == b"bc" + bytes(5) + b"d"
+
+
+def test_filters_of_streams():
+    import base64
+
+    from lading.functions import filters
+
+    assert filters.ascii85(base64.a85encode(TEXT) + b"~>") == TEXT and filters.ascii_hex(TEXT.hex().encode() + b">") == TEXT
+    assert filters.run_lengths(b"\x02abc\xfed\x80rest") == b"abcddd"
+    w, table, width, word = Writer(), {bytes([i]): i for i in range(256)} | {b"x0": 256, b"x1": 257}, 9, b""
+    w.put(256, 9)
+    for b in TEXT * 9:
+        longer = word + bytes([b])
+        if longer in table:
+            word = longer
+            continue
+        w.put(table[word], width)
+        if len(table) < 4094:
+            table[longer] = len(table)
+        width = min(12, max(9, len(table).bit_length()))
+        word = bytes([b])
+    w.put(table[word], width)
+    assert filters.lzw(w.done()) [:800] == (TEXT * 9)[:800]
+    rows = [bytes((i * 7 + k) & 255 for i in range(9)) for k in range(4)]
+    told = b"\0" + rows[0] + b"\2" + bytes(a - b & 255 for a, b in zip(rows[1], rows[0], strict=True)) + b"\1" + bytes(rows[2][i] - (rows[2][i - 3] if i > 2 else 0) & 255 for i in range(9)) + b"\0" + rows[3]
+    assert filters.png_rows(told, 3, 3) == b"".join(rows)
+    assert filters.tiff_rows(bytes([1, 2, 3, 1, 1, 1]), 2, 3) == bytes([1, 2, 3, 2, 3, 4])
+    assert filters.palette_colors(b"\1\0\5", b"\1\2\3\4\5\6") == bytes([4, 5, 6, 1, 2, 3, 0, 0, 0])
+
+
+def unpng(data):
+    at, body = 8, b""
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if data[at + 4 : at + 8] == b"IDAT":
+            body += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    return zlib.decompress(body)
+
+
+def test_pdf_pictures_by_page():
+    gray, colors = bytes(range(12)), bytes(range(24))
+    jpeg = b"\xff\xd8 some picture \xff\xd9"
+    stream = lambda head, body: b"<<" + head + b" /Length %d>>\nstream\n" % len(body) + body + b"\nendstream"
+    parts = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[4 0 R 3 0 R]/Count 2>>",
+        3: b"<</Type/Page/Parent 2 0 R/Resources<</XObject<</A 5 0 R/B 6 0 R>>>>>>", 4: b"<</Type/Page/Parent 2 0 R/Resources<</XObject<</A 5 0 R/C 7 0 R>>>>>>",
+        5: stream(b"/Subtype/Image/Width 4/Height 3/BitsPerComponent 8/ColorSpace/DeviceGray/Filter/FlateDecode", zlib.compress(gray)),
+        6: stream(b"/Subtype /Image /Filter /DCTDecode /Width 1 /Height 1", jpeg),
+        7: stream(b"/Subtype/Image/Width 2/Height 2/BitsPerComponent 8/ColorSpace[/Indexed/DeviceRGB 1 <0102030a0b0c>]/Filter[/ASCIIHexDecode]", b"00010100>"),
+        8: stream(b"/Subtype/Image/Width 4/Height 2/BitsPerComponent 8/ColorSpace/DeviceRGB", colors),
+    }
+    whole = b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n" % k + v + b"\nendobj" for k, v in parts.items()) + b"\n%%EOF"
+    rows = list(rows_of(Source(whole), "x.pdf", Options(content=True)))
+    assert [r["name"] for r in rows] == ["Page 1, object 7.png", "Page 2, object 5.png", "Page 2, object 6.jpg", "Object 8.png"]
+    assert rows[2]["content"] == jpeg
+    assert unpng(rows[1]["content"]) == b"".join(b"\0" + gray[k : k + 4] for k in (0, 4, 8))
+    assert unpng(rows[0]["content"]) == b"\0\1\2\3\x0a\x0b\x0c\0\x0a\x0b\x0c\1\2\3"
+
+
+def test_apple_metadata():
+    from lading.sources.formats.apple import extended_attributes, resources
+
+    names = [(b"com.b\0", b"two"), (b"com.a\0", b"one!")]
+    index, at = b"", 38 + 36 + sum((11 + len(n) + 3) // 4 * 4 for n, _ in names)
+    for name, value in names:
+        one = struct.pack(">IIHB", 26 + 12 - 38 + 38 + at - 38, len(value), 0, len(name)) + name
+        index += one + bytes(-len(one) % 4)
+        at += len(value)
+    body = bytes(34) + b"ATTR" + bytes(4) + struct.pack(">III", 0, 0, 0) + bytes(12) + struct.pack(">HH", 0, 2) + index + b"".join(v for _, v in names)
+    data = b"\0\5\x16\7\0\2\0\0" + bytes(16) + struct.pack(">H", 1) + struct.pack(">III", 9, 38, len(body)) + body
+    shift = data.index(b"two") - struct.unpack_from(">I", data, 38 + 34 + 36)[0]
+    fixed = bytearray(data)
+    place = 38 + 34 + 36
+    for name, _ in names:
+        (where,) = struct.unpack_from(">I", fixed, place)
+        struct.pack_into(">I", fixed, place, where + shift)
+        place += (11 + len(name) + 3) // 4 * 4
+    assert extended_attributes(Source(bytes(fixed))) == {"com.a": b"one!", "com.b": b"two"}
+    content = struct.pack(">I", 5) + b"hello"
+    refs = struct.pack(">hHI", 128, 0, 0) + bytes(4)
+    map_ = bytes(24) + struct.pack(">HH", 28, 28 + 2 + 8 + len(refs)) + struct.pack(">H", 0) + struct.pack(">4sHH", b"STR ", 0, 10) + refs + b"\4name"
+    fork = struct.pack(">IIII", 16, 16 + len(content), len(content), len(map_)) + content + map_
+    assert resources(Source(fork)) == [("STR ", 128, "name", b"hello")]
+
+
+def test_damaged_records_of_warc_are_left_out():
+    record = lambda length, body, date="2020-02-29T12:00:00Z": f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a.b/{body}\r\nWARC-Date: {date}\r\nContent-Length: {length}\r\n\r\n".encode() + (b"HTTP/1.1 200 OK\r\n\r\n" + body.encode()) + b"\r\n\r\n"
+    data = record(22, "one") + record("many", "two") + record(24, "three", "yesterday")
+    rows = [r for r in rows_of(Source(data), "x.warc", Options(content=True)) if not r["is_directory"]]
+    assert [(r["name"], r["content"]) for r in rows] == [("a.b/one", b"one"), ("a.b/three", b"three")]
+
+
+def test_zip_over_volumes():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(4):
+            z.writestr(f"{i}.txt", f"text {i} " * 30)
+    data = bytearray(out.getvalue())
+    cut, at = 300, data.find(b"PK\1\2")
+    start = at
+    while data[at : at + 4] == b"PK\1\2":
+        n, m, c = struct.unpack_from("<HHH", data, at + 28)
+        (local,) = struct.unpack_from("<I", data, at + 42)
+        if local >= cut:
+            struct.pack_into("<H", data, at + 34, 1)
+            struct.pack_into("<I", data, at + 42, local - cut)
+        at += 46 + n + m + c
+    struct.pack_into("<H", data, at + 6, 1)
+    struct.pack_into("<I", data, at + 16, start - cut)
+    rows = list(rows_of(Joined([Source(bytes(data[:cut])), Source(bytes(data[cut:]))]), "x.z01", Options(content=True, test=True)))
+    assert [(r["content"], r["status"]) for r in rows] == [(f"text {i} ".encode() * 30, "ok") for i in range(4)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import zipfile
+
+    from lading.__main__ import main
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/one.txt", "1")
+        z.writestr("two.log", "2")
+    at = f"file://{tmp_path}/a.zip"
+    assert main(["list", at]) == 0 and capsys.readouterr().out.split() == ["d/one.txt", "two.log"]
+    assert main(["--files", "*.log", "list", "--json", at]) == 0 and '"name":"two.log"' in capsys.readouterr().out
+    assert main(["test", at]) == 0 and capsys.readouterr().out.count("ok") == 2
+    assert main(["--indexes", "0", "extract", "-o", f"file://{tmp_path}/out", at]) == 0
+    assert [p.name for p in (tmp_path / "out").rglob("*.txt")] == ["one.txt"]
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    data[39] ^= 1
+    (tmp_path / "b.zip").write_bytes(bytes(data))
+    assert main(["test", f"file://{tmp_path}/b.zip"]) == 1
