@@ -26,6 +26,8 @@ MARK = "▁"
 UNITS = f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n"
 #: The commonest units, so many, are encoded by the lattice and sent to all tasks: a bounded table.
 COMMON = 50_000
+#: Tasks of the lattice of those units.
+LATTICE_TASKS = 32
 #: Longest unit in the lattice: its places must fit a long.
 LONGEST = 60
 #: Units that a worker process remembers, from task to task, before it starts anew.
@@ -163,8 +165,8 @@ def common_units(docs: DataFrame, model: Model, most: int = COMMON) -> dict[str,
     whole = F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK)))
     units = docs.where("text <> ''").select(F.explode(F.regexp_extract_all(whole, F.lit(UNITS), F.lit(0))).alias("unit"))
     fit = units.where((F.char_length("unit") <= LONGEST) & ~F.col("unit").contains(MARK * 2)).groupBy("unit").count()
-    top = settle(fit.orderBy(F.desc("count"), "unit").limit(most).select("unit").repartition("unit"))
-    return {u: np.array([j for i in ids for j in ([i] if i >= 0 else [model.bytes_from + b for b in u[-1 - i].encode()])], "<u4").tobytes() for u, ids in lattice(top, model).collect()}
+    top = settle(fit.orderBy(F.desc("count"), "unit").limit(most).select("unit"))
+    return {u: np.array([j for i in ids for j in ([i] if i >= 0 else [model.bytes_from + b for b in u[-1 - i].encode()])], "<u4").tobytes() for u, ids in lattice(top.repartition(LATTICE_TASKS, "unit"), model).collect()}
 
 
 class Encoder:

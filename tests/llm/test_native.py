@@ -280,3 +280,9 @@ def test_empty_tables(spark):
     assert quality.quality_report(docs).count() == quality.quality_filter(docs).count() == 0
     assert secrets.report(docs).count() == secrets.redact(docs).count() == 0
     assert mixing.mix_report(docs).count() == mixing.mixed(docs).count() == 0
+
+
+def test_repeated_rows_are_reported_each(spark):
+    rows = [(1, "token=abcdef host=abc.def", "s")] * 3 + [(1, "clean", "s"), (None, "token=abcdef", None)]
+    got = collections.Counter((r.doc_id, r.spans) for r in secrets.report(table(spark, rows)).collect())
+    assert got == {(1, "assign:0:12,endpoint:13:25"): 3, (1, ""): 1, (None, "assign:0:12"): 1}

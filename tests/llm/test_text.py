@@ -416,3 +416,12 @@ def test_licenses_from_a_table(spark):
     table = spark.createDataFrame([("Own-1.0", "you may do with this work as you please"), ("Short", "too short"), (None, "a b c d e f"), ("Own-1.0", "you may do with this work as you please")], "license string, text string")
     rows = licenses.license_report(spark.createDataFrame([(1, "Note: you may do with this work as you please."), (2, "nothing")], "doc_id long, text string"), table).collect()
     assert [(r.doc_id, r.license, r.containment) for r in rows] == [(1, "Own-1.0", 1.0)]
+
+
+def test_repeated_rows(spark):
+    """One id with two texts, and rows that repeat, in fingerprints and embeddings."""
+    rows = [(3, "one two three four five"), (3, "quite another text here now"), (3, "one two three four five"), (1, "quite another text here now"), (None, "one two three four five")]
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.simhash_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(3, 3): 2, (3, 1): 1, (1, 1): 1, (None, 3): 1}
+    table = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.linked(table).collect()) == [(2, 2, 2), (5, 0, 5), (5, 2, 2), (5, 2, 2)]
