@@ -12,6 +12,7 @@ import heapq
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ MARK = "▁"
 UNITS = f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n"
 #: The commonest units, so many, are encoded by the lattice and sent to all tasks: a bounded table.
 COMMON = 50_000
+#: Units that a task counts before it passes them on.
+COUNTED = 500_000
 #: Tasks of the lattice of those units.
 LATTICE_TASKS = 32
 #: Longest unit in the lattice: its places must fit a long.
@@ -161,10 +164,26 @@ def best_paths(units: DataFrame, scores: dict[str, float], ids: dict[str, int],
 
 
 def common_units(docs: DataFrame, model: Model, most: int = COMMON) -> dict[str, bytes]:
-    """Ids (little-endian 32-bit) of the commonest units of all whole texts, encoded by the lattice."""
-    whole = F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK)))
-    units = docs.where("text <> ''").select(F.explode(F.regexp_extract_all(whole, F.lit(UNITS), F.lit(0))).alias("unit"))
-    fit = units.where((F.char_length("unit") <= LONGEST) & ~F.col("unit").contains(MARK * 2)).groupBy("unit").count()
+    """Ids (little-endian 32-bit) of the commonest units of all whole texts, encoded by the lattice.
+
+    Each task counts the units of its texts, some at a time, and the counts are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, held = re.compile(UNITS).findall, Counter()
+
+        def counts() -> pa.RecordBatch:
+            fit = [(u, n) for u, n in held.items() if len(u) <= LONGEST and MARK * 2 not in u]
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in fit], pa.string()), pa.array([n for _, n in fit], pa.int64())], ["unit", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                held.update(find(MARK + text.as_py().replace(" ", MARK)))
+                if len(held) > COUNTED:
+                    yield counts()
+                    held = Counter()
+        yield counts()
+
+    fit = docs.where("text <> ''").select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("count"))
     top = settle(fit.orderBy(F.desc("count"), "unit").limit(most).select("unit"))
     return {u: np.array([j for i in ids for j in ([i] if i >= 0 else [model.bytes_from + b for b in u[-1 - i].encode()])], "<u4").tobytes() for u, ids in lattice(top.repartition(LATTICE_TASKS, "unit"), model).collect()}
 
