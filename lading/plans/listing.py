@@ -44,19 +44,19 @@ def json_line(*columns: str, exclude: tuple[str, ...] = ()) -> Column:
     return F.to_json(F.struct(*(c for c in columns if c not in exclude)), {"ignoreNullFields": "true"})
 
 
-#: The version and the keys of the JSON listing.
+#: Fixed value: the version of the JSON listing.
 JSON_VERSION = 2
-JSON_KEYS = {"version": "lsarFormatVersion", "contents": "lsarContents", "encoding": "lsarEncoding", "confidence": "lsarConfidence", "format": "lsarFormatName", "error": "lsarError"}
 
 
-def json_documents(entries: DataFrame, *columns: str, exclude: tuple[str, ...] = (), encodings: DataFrame | None = None) -> DataFrame:
-    """archive and json, one document an archive: version, contents in order, format, error, and, from encodings (archive,
-    encoding, confidence), the encoding of names. An archive's entries meet in one row, as its document has to hold them."""
+def json_documents(entries: DataFrame, *columns: str, exclude: tuple[str, ...] = (), encodings: DataFrame | None = None, prefix: str = "") -> DataFrame:
+    """archive and json, one document an archive: FormatVersion, Contents in order, FormatName, Error, and, from encodings
+    (archive, encoding, confidence), Encoding and Confidence of names. prefix goes before these keys, for readers that know
+    them by one. An archive's entries meet in one row, as its document has to hold them."""
     line = F.struct(*(c for c in columns if c not in exclude))
     rows = entries.groupBy("archive").agg(F.min(F.when(F.col("level") == 0, F.col("format"))).alias("format"), F.max("archive_status").alias("error"), F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", line.alias("e"))))).alias("es"))
     rows = rows.join(encodings, "archive", "left") if encodings is not None else rows.withColumns({"encoding": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
-    k = JSON_KEYS
-    body = F.struct(F.lit(JSON_VERSION).alias(k["version"]), F.transform("es", lambda x: x["e"]).alias(k["contents"]), F.col("encoding").alias(k["encoding"]), F.col("confidence").alias(k["confidence"]), F.col("format").alias(k["format"]), F.col("error").alias(k["error"]))
+    own = {"FormatVersion": F.lit(JSON_VERSION), "Contents": F.transform("es", lambda x: x["e"]), "Encoding": F.col("encoding"), "Confidence": F.col("confidence"), "FormatName": F.col("format"), "Error": F.col("error")}
+    body = F.struct(*(v.alias(prefix + k) for k, v in own.items()))
     return rows.select("archive", F.to_json(body, {"ignoreNullFields": "true"}).alias("json"))
 
 

@@ -405,7 +405,7 @@ def fourth_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry_at(_documents(spark, sf_dir, "tar"), 3, "name", "file_size")
 
 
-@query("""select 'docs-' || (doc_id // 50) || '.tar' as archive, '{"lsarFormatVersion":2,"lsarContents":[' || string_agg('{"name":"doc' || doc_id || '.txt","file_size":' || strlen(text) || '}', ',' order by doc_id) || '],"lsarFormatName":"Tar"}' as json from documents group by doc_id // 50""")
+@query("""select 'docs-' || (doc_id // 50) || '.tar' as archive, '{"FormatVersion":2,"Contents":[' || string_agg('{"name":"doc' || doc_id || '.txt","file_size":' || strlen(text) || '}', ',' order by doc_id) || '],"FormatName":"Tar"}' as json from documents group by doc_id // 50""")
 def json_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_documents(_documents(spark, sf_dir, "tar"), "name", "file_size", "uid", exclude=("uid",))
 
