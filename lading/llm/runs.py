@@ -69,7 +69,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         was = root.copy()
         np.minimum.at(root, root[x], low)
         np.minimum.at(root, root[y], low)
-        while (up := root[root]).tolist() != root.tolist():
+        while not np.array_equal(up := root[root], root):
             root = up
         if (was == root).all():
             break

@@ -15,7 +15,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lading.llm import chat, embeddings, licenses, runs, sentencepiece, simhash, tokens, toxicity
+from lading.llm import chat, embeddings, graph, licenses, runs, sentencepiece, simhash, tokens, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +36,22 @@ def components(n, linked):
         label = new
 
 
+def test_components_in_one_task_and_in_many(spark):
+    """A hub, a chain, repeats, loops, nulls and negative nodes, reduced in one task or dealt over many."""
+    rng = np.random.default_rng(3)
+    edges = [(-50, i) for i in range(-49, -20)] + [(i, i + 1) for i in range(100, 140)] + [(int(a), int(b)) for a, b in rng.integers(200, 320, (70, 2))]
+    edges += edges[:20] + [(7, 7), (None, 8), (9, None)]
+    real = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+    nodes = sorted({n for edge in real for n in edge})
+    linked = {(x, y) for a, b in real for x, y in ((a, b), (b, a))}
+    want = dict(zip(nodes, (nodes[k] for k in components(len(nodes), lambda i, j: (nodes[i], nodes[j]) in linked)), strict=True))
+    rows = spark.createDataFrame(edges, "a long, b long")
+    for a_task in (1_000_000, 25):
+        got = graph.connected_components(rows, a_task).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert graph.connected_components(rows.limit(0)).count() == 0
+
+
 def slow_print(text, size=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
