@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from itertools import accumulate
 
-from .kernels import LIMIT, Bits, Damaged, Prefix, TooLarge
+from .kernels import LIMIT, Bits, Damaged, Prefix, TooLarge, Unsupported
 
 
 def _checked(size: int) -> None:
@@ -280,6 +280,60 @@ def lzx(data: bytes, size: int, window: int) -> bytes:
     return _calls_back(bytes(out[:size]), file_size) if started and file_size else bytes(out[:size])
 
 
+def amiga_lzx(data: bytes, size: int) -> bytes:
+    """LZX of the Amiga: words of 16 bits, read from the least significant bit on; blocks keep the code lengths of the
+    block before as what theirs differ from."""
+    _checked(size)
+    swapped = bytearray(data[: len(data) // 2 * 2])
+    swapped[::2], swapped[1::2] = swapped[1::2], swapped[::2]
+    bits, out, slots = Bits(bytes(swapped), low_first=True), bytearray(), _slots(32, 14)
+    lengths, far, left, main, low = [0] * 768, 1, 0, None, None
+
+    def told(first: int, after: int, late: int) -> None:
+        code, k = Prefix([bits.read(4) for _ in range(20)]), first
+        while k < after:
+            c = code.next(bits)
+            if c == 17:
+                n, value = bits.read(4) + 4 - late, 0
+            elif c == 18:
+                n, value = bits.read(5 + late) + 20 - late, 0
+            else:
+                n = bits.read(1) + 4 - late if c == 19 else 1
+                value = (lengths[k] - (code.next(bits) if c == 19 else c)) % 17
+            if k + n > after:
+                raise Damaged("lengths run over")
+            lengths[k : k + n] = [value] * n
+            k += n
+
+    while len(out) < size:
+        if not left:
+            kind = bits.read(3)
+            if kind not in (2, 3):
+                raise (Unsupported if kind == 1 else Damaged)("no such block")
+            low = Prefix([bits.read(3) for _ in range(8)]) if kind == 3 else None
+            left = int.from_bytes(bytes(bits.read(8) for _ in range(3)), "big")
+            told(0, 256, 0)
+            told(256, 768, 1)
+            main = Prefix(lengths)
+            continue
+        symbol = main.next(bits)
+        if symbol < 256:
+            out.append(symbol)
+            left -= 1
+            continue
+        base, more = slots[symbol & 31]
+        if base or more:
+            far = base + (bits.read(more) if low is None or more < 3 else (bits.read(more - 3) << 3) + low.next(bits))
+        base, more = slots[symbol - 256 >> 5]
+        n = base + 3 + bits.read(more)
+        if far > len(out):
+            raise Damaged("a copy from before the start")
+        word = out[len(out) - far : len(out) - far + n]
+        out += (word * (n // far + 1))[:n]
+        left = max(0, left - n)
+    return bytes(out[:size])
+
+
 def _calls_back(data: bytes, file_size: int) -> bytes:
     """Targets behind E8, absolute to relative, in each frame but for its last ten bytes."""
     out = bytearray(data)

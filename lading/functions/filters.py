@@ -109,9 +109,9 @@ def palette_colors(data: bytes, palette: bytes) -> bytes:
 
 
 def png(samples: bytes, width: int, height: int, colors: int, depth: int = 8) -> bytes:
-    """A PNG picture of gray (one color) or red, green and blue (three) samples."""
+    """A PNG picture of gray (one color), red, green and blue (three) or these and opacity (four) samples."""
     row = (width * colors * depth + 7) // 8
     samples = samples[: row * height].ljust(row * height, b"\0")
     plain = b"".join(b"\0" + samples[k * row : (k + 1) * row] for k in range(height))
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, 0 if colors == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(plain)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, {1: 0, 3: 2, 4: 6}[colors], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(plain)) + chunk(b"IEND", b"")

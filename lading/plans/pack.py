@@ -337,9 +337,30 @@ def _six_bits(plain: bytes, letters: bytes) -> bytes:
     return bytes(out)
 
 
+def _film(rows: list[tuple[str, bytes]]) -> bytes:
+    """A compressed film that shows a picture in GIF, with each row's bytes behind the mark, in each frame."""
+    body = bytearray(b"\x10\0\0\x0c" + struct.pack("<H", len(rows)))
+    for i, (_, data) in enumerate(rows):
+        body += struct.pack("<HIH", 21 << 6 | 63, len(data) + 8, i) + b"GIF89a" + data + struct.pack("<H", 1 << 6)
+    return b"CWS\6" + struct.pack("<I", len(body) + 10) + zlib.compress(bytes(body) + b"\0\0", 1)
+
+
+def _amiga_lzx(rows: list[tuple[str, bytes]]) -> bytes:
+    """Stored groups of up to three files; a group's bytes follow its last file."""
+    out = bytearray(b"LZX" + bytes(7))
+    for k in range(0, len(rows), 3):
+        part = rows[k : k + 3]
+        body = b"".join(data for _, data in part)
+        for name, data in part:
+            last = name == part[-1][0]
+            out += struct.pack("<HIIBBHBBHIIIB", 0, len(data), len(body) if last else 0, 10, 0, 0, 0, 10, 0, 1 << 27 | 30 << 17, zlib.crc32(data), 0, len(name)) + name.encode()
+        out += body
+    return bytes(out)
+
+
 #: The lowest levels: packing only makes what the engine is to read, and a benchmark should time the reading.
 ONE = {"gz": lambda d: gzip.compress(d, 1), "bz2": lambda d: bz2.compress(d, 1), "xz": lambda d: lzma.compress(d, preset=0), "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE, preset=0), "Z": _z}
-MANY = {"zip": _zip, "tar": _tar, "a": _ar, "cpio": _cpio, "warc": _warc, "tar.gz": lambda rows: gzip.compress(_tar(rows), mtime=1), "methods.zip": _zip_methods, "locked.zip": _zip_locked}
+MANY = {"zip": _zip, "tar": _tar, "a": _ar, "cpio": _cpio, "warc": _warc, "tar.gz": lambda rows: gzip.compress(_tar(rows), mtime=1), "methods.zip": _zip_methods, "locked.zip": _zip_locked, "swf": _film, "lzx": _amiga_lzx}
 #: Formats that archives of a mixed corpus have by turns.
 MIXED = {"7z": _sevenzip, "iso": _iso, "rar": _rar5, "lzh": _lha, "arj": _arj, "zoo": _zoo, "arc": _arc, "cab": _cab, "sar": _sar, "lbr": _lbr, "xar": _xar}
 FORKED = {"macbinary.bin": _macbinary, "applesingle.as": _applesingle, "binhex.hqx": _binhex}

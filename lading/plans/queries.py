@@ -124,6 +124,20 @@ def forked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("archive", "name", "is_resource_fork", F.md5("content").alias("content_md5"))
 
 
+@query("""select 'docs-' || (doc_id // 50) || '.swf' as archive, 'Image ' || (n + 1) || ' at frame ' || n || '.gif' as name, cast(strlen(text) + 6 as bigint) as file_size, md5('GIF89a' || text) as content_md5
+ from (select *, row_number() over (partition by doc_id // 50 order by doc_id) - 1 as n from documents)""")
+def film_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of films, one shown in each frame."""
+    return _documents(spark, sf_dir, "swf", Options(content=True)).select("archive", "name", "file_size", F.md5("content").alias("content_md5"))
+
+
+@query("""select archive, idx, 'doc' || doc_id || '.txt' as name, md5(text) as content_md5, 'ok' as status, case when idx % 3 > 0 then true end as is_solid
+ from (select *, cast(n as integer) as idx, 'docs-' || (doc_id // 50) || '.lzx' as archive from (select *, row_number() over (partition by doc_id // 50 order by doc_id) - 1 as n from documents))""")
+def grouped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of archives in which three share a stream."""
+    return _documents(spark, sf_dir, "lzx", Options(content=True, test=True)).select("archive", "idx", "name", F.md5("content").alias("content_md5"), "status", "is_solid")
+
+
 @query("select level, format, cast(count(*) as bigint) as entries, cast(sum(bytes) as bigint) as bytes from (select 0 as level, 'Gzip' as format, cast(null as bigint) as bytes, doc_id // 50 from documents group by all union all select 1, 'Tar', strlen(text), doc_id from documents) group by level, format")
 def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tar in Gzip: the outer entry and the inner ones."""

@@ -158,7 +158,7 @@ FORMATS: tuple[Format, ...] = (
     Format("Compress", 3, _magic(b"\x1f\x9d"), "compress"),
     Format("RPM", 96, _magic(b"\xed\xab\xee\xdb"), "rpm"),
     Format("XZ", 6, _magic(b"\xfd7zXZ\0"), "xz"),
-    Format("SWF", 6, lambda h, n: 0 if h[:3] in (b"FWS", b"CWS") and h[3:4] and h[3] < 32 else None),
+    Format("SWF", 6, lambda h, n: 0 if h[:3] in (b"FWS", b"CWS") and h[3:4] and h[3] < 32 else None, "swf"),
     Format("PDF", 53, _magic(b"%PDF-"), "pdf"),
     Format("ALZip", 8, _magic(b"ALZ\1"), "alzip"),
     Format("CAB", 4, _magic(b"MSCF"), "cab"),
@@ -169,7 +169,7 @@ FORMATS: tuple[Format, ...] = (
     Format("Self-extracting Commodore 64 LhA", 0xE90, lambda h, n: next((i for i in (0xE87, 0xE89, 0xE8B) if h[:2] == b"\1\x08" and re.match(rb"-lh.-", h[i + 2 : i + 7])), None), "lha"),
     Format("Self-extracting LZH", 84, lambda h, n: next((i for i in (32, 36, 64, 79) if h[:2] == b"MZ" and re.match(rb"-lh.-", h[i + 2 : i + 7])), None), "lha"),
     Format("Zoo", 0x22, _magic(b"\xdc\xa7\xc4\xfd", at=0x14), "zoo"),
-    Format("LZX", 10, _magic(b"LZX")),
+    Format("LZX", 10, lambda h, n: 0 if len(h) >= 10 and h[:3] == b"LZX" else None, "amiga_lzx"),
     Format("PowerPacker", 4, _magic(b"PP20"), "powerpacker"),
     Format("NDS", 0x200, _nds, "nds"),
     Format("NSA", 6, _named(r"arc[0-9]*\.nsa"), "nsa"),

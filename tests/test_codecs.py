@@ -405,7 +405,7 @@ def test_noise_ends_in_an_error_or_in_bytes(seed):
     for run in (
         lambda: codecs.shrink(data, size), lambda: codecs.implode(data, size, 6), lambda: codecs.bcj2(data, data, data, data, size), lambda: codecs.lzx(data, size, 17),
         lambda: codecs.quantum([data], [size], 18), lambda: codecs.lh1(data, size), lambda: codecs.arj_fastest(data, size), lambda: codecs.arc_crunch(data, False), lambda: codecs.arc_crunch(data, True),
-        lambda: ppmd.seven_zip(b"\0" + data, 6, 1 << 22, size), lambda: rar.Rar3().decode(data, size), lambda: rar.Rar3().decode(b"\xa5\1" + data, size), lambda: rar.Rar5().decode(data, size),
+        lambda: codecs.amiga_lzx(data, size), lambda: ppmd.seven_zip(b"\0" + data, 6, 1 << 22, size), lambda: rar.Rar3().decode(data, size), lambda: rar.Rar3().decode(b"\xa5\1" + data, size), lambda: rar.Rar5().decode(data, size),
     ):
         try:
             assert isinstance(run(), bytes)
@@ -622,3 +622,115 @@ def test_command_line(spark, tmp_path, capsys):
     data[39] ^= 1
     (tmp_path / "b.zip").write_bytes(bytes(data))
     assert main(["test", f"file://{tmp_path}/b.zip"]) == 1
+
+
+def amiga_packed(data):
+    """Two blocks: verbatim distances with lengths told in runs, then aligned ones with lengths as they were."""
+    w, pre, slots = Writer(low=True), Prefix([5] * 20), codecs._slots(32, 14)
+    main, low = Prefix([10] * 768), Prefix([3] * 8)
+    items, done, half = list(parsed(data, 3, 200, 60000)), 0, 0
+    while done < len(data) // 2:
+        done += 1 if isinstance(items[half], int) else items[half][1]
+        half += 1
+
+    def told(n, late, first):
+        for _ in range(20):
+            w.put(5, 4)
+        while n and first:
+            step = 5 - late
+            if n >= step:
+                w.code(pre, 19), w.put(1, 1), w.code(pre, 7)
+            else:
+                step = 1
+                w.code(pre, 7)
+            n -= step
+        for _ in range(n):
+            w.code(pre, 0)
+
+    for kind, part, size in ((2, items[:half], done), (3, items[half:], len(data) - done)):
+        w.put(kind, 3)
+        for _ in range(8 * (kind == 3)):
+            w.put(3, 3)
+        for b in size.to_bytes(3, "big"):
+            w.put(b, 8)
+        told(256, 0, kind == 2), told(512, 1, kind == 2)
+        last = 1
+        for x in part:
+            if isinstance(x, int):
+                w.code(main, x)
+                continue
+            far, n = x
+            k = 0 if far == last and kind == 2 else max(i for i, (b, _) in enumerate(slots) if b <= far)
+            m = max(i for i, (b, _) in enumerate(slots[:16]) if b <= n - 3)
+            w.code(main, 256 + 32 * m + k)
+            if k:
+                rest, more = far - slots[k][0], slots[k][1]
+                if kind == 3 and more >= 3:
+                    w.put(rest >> 3, more - 3), w.code(low, rest & 7)
+                else:
+                    w.put(rest, more)
+            w.put(n - 3 - slots[m][0], slots[m][1])
+            last = far
+    out = w.done()
+    out += b"\0" * (len(out) % 2)
+    return b"".join(out[i + 1 : i + 2] + out[i : i + 1] for i in range(0, len(out), 2))
+
+
+def test_lzx_of_the_amiga():
+    data = TEXT + random.Random(5).randbytes(300) + TEXT[:700]
+    body = amiga_packed(data)
+    assert codecs.amiga_lzx(body, len(data)) == data
+    with pytest.raises(Damaged):
+        codecs.amiga_lzx(body[: len(body) // 2], len(data))
+
+    def head(name, data, packed, method, attributes=0, note=b""):
+        stamp = 29 << 27 | 1 << 23 | 26 << 17 | 12 << 12 | 34 << 6 | 56
+        return struct.pack("<HIIBBHBBHIIIB", attributes, len(data), packed, 10, method, 0, len(note), 10, 0, stamp, zlib.crc32(data), 0, len(name)) + name + note
+
+    whole = b"LZX" + bytes(7) + head(b"d/a", data[:500], 0, 2, 0x0F) + head(b"b", data[500:], len(body), 2, 0, b"note") + body + head(b"c", b"plain", 5, 0, 0x13) + b"plain"
+    rows = list(rows_of(Source(whole), "x.lzx", Options(content=True)))
+    assert [(r["name"], r["status"], r["content"]) for r in rows] == [("d/a", "ok", data[:500]), ("b", "ok", data[500:]), ("c", "ok", b"plain")]
+    assert [r["is_solid"] for r in rows] == [None, True, None] and rows[1]["comment"] == "note" and rows[0]["mtime"].isoformat() == "1996-02-29T12:34:56+00:00"
+    assert [dict(r["extras"])["AmigaProtectionBits"] for r in rows] == ["0", "15", str(0x03 | 0x10)]
+    broken = rows_of(Source(whole.replace(b"plain", b"plaim")), "x.lzx", Options(test=True))
+    assert [r["status"] for r in broken] == ["ok", "ok", "checksum"]
+
+
+def film(tags, packed):
+    body = bytes([2 << 3, 0, 0, 12, 1, 0])[:2] + b"\0\x0c\1\0"
+    for kind, data in tags:
+        body += struct.pack("<HI", kind << 6 | 63, len(data)) + data if len(data) >= 63 or kind == 20 else struct.pack("<H", kind << 6 | len(data)) + data
+    body += b"\0\0"
+    return (b"CWS" if packed else b"FWS") + b"\6" + struct.pack("<I", 8 + len(body)) + (zlib.compress(body) if packed else body)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_films(packed):
+    segment = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 2, 3, 1) + b"\1\x11\0"
+    scan = b"\xff\xda\0\x08\1\1\0\0\x3f\0bits\xff\xd9"
+    clean = b"\xff\xd8" + segment + scan
+    twice = b"\xff\xd9\xff\xd8\xff\xd8" + segment + b"\xff\xd9\xff\xd8" + scan
+    alpha = zlib.compress(bytes(range(6)))
+    palette, indexes = bytes([1, 2, 3, 9, 10, 11, 12, 8]), b"\0\1\0\0\1\1\1\0"
+    tags = [
+        (8, b"\xff\xd8tables\xff\xd9"), (6, b"\1\0\xff\xd8rest"), (1, b""), (21, b"\2\0" + twice), (35, b"\3\0" + struct.pack("<I", len(twice)) + twice + alpha),
+        (21, b"\4\0GIF89a...") , (1, b""), (36, b"\5\0" + struct.pack("<BHHB", 3, 3, 2, 1) + zlib.compress(palette + indexes)),
+        (20, b"\6\0" + struct.pack("<BHH", 4, 1, 1) + zlib.compress(struct.pack(">H", 31 << 10 | 1) + b"\0\0")), (36, b"\7\0" + struct.pack("<BHH", 5, 1, 1) + zlib.compress(b"\x80\1\2\3")),
+        (14, b"\1\0" + bytes([0x3F]) + b"\1\0\0\0wave"), (14, b"\1\0" + bytes([0x2F]) + b"\1\0\0\0mp3"), (14, b"\1\0" + bytes([0x1F]) + b"\1\0\0\0adpcm"),
+        (39, b"\1\0\1\0" + struct.pack("<H", 18 << 6 | 4) + b"\0\x20\0\0" + struct.pack("<H", 19 << 6 | 6) + b"....in" + struct.pack("<H", 19 << 6 | 3) + b"ner" + b"\0\0"),
+        (45, b"\0\x20\0\0"), (19, b"....ma"), (1, b""), (19, b"....in"),
+    ]
+    rows = list(rows_of(Source(film(tags, packed)), "x.swf", Options(content=True)))
+    got = {r["name"]: r["content"] for r in rows}
+    assert list(got) == [
+        "Image 1 at frame 0.jpg", "Image 2 at frame 1.jpg", "Image 3 at frame 1.jpg", "Image 3 alpha channel at frame 1.png", "Image 4 at frame 1.gif", "Image 5 at frame 2.png", "Image 6 at frame 2.png",
+        "Image 7 at frame 2.png", "Sound 1 at frame 2.wav", "Sound 2 at frame 2.mp3", "Stream 1 at frame 2.mp3", "Stream.mp3",
+    ]
+    files = list(got.values())
+    assert files[0] == b"\xff\xd8tablesrest" and files[1] == files[2] == clean and files[4] == b"GIF89a..."
+    assert unpng(files[3]) == b"\0\0\1\2\0\3\4\5"
+    assert unpng(files[5]) == b"\0" + palette[:4] + palette[4:] + palette[:4] + b"\0" + palette[4:] * 3
+    assert unpng(files[6]) == b"\0\xff\0\x08" and unpng(files[7]) == b"\0\1\2\3\x80"
+    assert files[8][:4] == b"RIFF" and files[8][24:28] == struct.pack("<I", 44100) and files[8][-4:] == b"wave"
+    assert files[9:] == [b"mp3", b"inner", b"main"]
+    assert {r["status"] for r in rows} == {"ok"} and {r["compression"] for r in rows if r["name"].endswith("mp3")} == {"Zlib" if packed else "None"}
