@@ -631,3 +631,100 @@ def compact_lzh(data: bytes, most: int) -> bytes:
             bits.align()
             bits.read(24 if odd else 16)
     return bytes(out[:most])
+
+
+class _Weights:
+    """Symbols from a first one on with adaptive weights, which are halved once their sum is over a limit."""
+
+    def __init__(self, first: int, count: int, step: int, most: int) -> None:
+        self.first, self.count, self.step, self.most = first, count, step, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.each, self.total = [self.step] * self.count, self.step * self.count
+
+    def used(self, k: int) -> None:
+        self.each[k] += self.step
+        self.total += self.step
+        if self.total > self.most:
+            self.each = [(w + 1) // 2 for w in self.each]
+            self.total = sum(self.each)
+
+
+class _Ranges:
+    """An arithmetic decoder of 26 bits."""
+
+    def __init__(self, data: bytes) -> None:
+        self.bits, self.range = Bits(data + bytes(8)), 1 << 25
+        self.code = self.bits.read(26)
+
+    def next(self, weights: _Weights) -> int:
+        unit = self.range // weights.total
+        want, below, k = self.code // unit, 0, 0
+        while k < weights.count - 1 and below + weights.each[k] <= want:
+            below += weights.each[k]
+            k += 1
+        self.code -= unit * below
+        self.range = self.range - unit * below if below + weights.each[k] == weights.total else unit * weights.each[k]
+        weights.used(k)
+        more = max(0, 25 - (self.range - 1).bit_length())
+        if more:
+            self.range <<= more
+            self.code = self.code << more | self.bits.read(more)
+        return weights.first + k
+
+    def number(self, weights: _Weights, bits: int) -> int:
+        return sum(self.next(weights) << i for i in range(bits))
+
+
+def arsenic(data: bytes, size: int) -> tuple[bytes, int]:
+    """Sorted blocks, moved to the front, in an arithmetic code; and the CRC-32 that is told behind them. Blocks that were
+    disturbed before they were sorted need a table that isn't here."""
+    _checked(size)
+    coder, plain, kinds = _Ranges(data), _Weights(0, 2, 1, 256), _Weights(0, 11, 8, 1024)
+    classes = [_Weights(2 << k, 2 << k, step, 1024) for k, step in enumerate((8, 4, 4, 4, 2, 2, 1))]
+    if bytes(coder.number(plain, 8) for _ in range(2)) != b"As":
+        raise Damaged("no such stream")
+    width, out = coder.number(plain, 4) + 9, bytearray()
+    done, told = coder.next(plain), 0
+    while not done:
+        disturbed, row = coder.next(plain), coder.number(plain, width)
+        order, block = list(range(256)), bytearray()
+        zeros, unit, kind = 0, 1, 0
+        while kind != 10:
+            kind = coder.next(kinds)
+            if kind < 2:
+                zeros, unit = zeros + unit * (kind + 1), unit * 2
+            if zeros and kind > 1 or zeros > 1 << width:
+                if len(block) + zeros > 1 << width:
+                    raise Damaged("a block is too long")
+                block += bytes([order[0]]) * zeros
+            if kind > 1:
+                zeros, unit = 0, 1
+            if 1 < kind < 10:
+                order.insert(0, order.pop(1 if kind == 2 else coder.next(classes[kind - 3])))
+                block.append(order[0])
+                if len(block) > 1 << width:
+                    raise Damaged("a block is too long")
+        for weights in (kinds, *classes):
+            weights.reset()
+        if coder.next(plain):
+            done, told = 1, coder.number(plain, 32)
+        if disturbed:
+            raise Unsupported("disturbed blocks")
+        if row >= len(block):
+            raise Damaged("no such row")
+        follow, same, last = sorted(range(len(block)), key=block.__getitem__), 0, 0
+        for _ in range(len(block)):
+            row = follow[row]
+            byte = block[row]
+            if same == 4:
+                out += bytes([last]) * byte
+                same = 0
+                continue
+            same = same + 1 if byte == last else 1
+            last = byte
+            out.append(byte)
+        if len(out) > size:
+            raise Damaged("more comes out than was told")
+    return bytes(out), told

@@ -143,8 +143,8 @@ FORMATS: tuple[Format, ...] = (
     Format("Bzip2", 10, lambda h, n: 0 if h[:3] == b"BZh" and h[3:4].isdigit() and h[4:10] in (b"1AY&SY", b"\x17rE8P\x90") else None, "bzip2"),
     Format("Tar", 512, _tar, "tar"),
     Format("StuffIt", 22, lambda h, n: 0 if h[10:14] == b"rLau" and (h[:4] == b"SIT!" or h[:2] == b"ST") else None, "stuffit"),
-    Format("StuffIt 5", 100, lambda h, n: 0 if re.match(rb"StuffIt \(c\)1997-.{4} Aladdin Systems, Inc\., http://www\.aladdinsys\.com/StuffIt/", h[:80], re.S) else None),
-    Format("StuffIt 5 (self-extracting)", 8192, _both(_exe, _anywhere(b"StuffIt (c)1997-", 8192))),
+    Format("StuffIt 5", 100, lambda h, n: 0 if re.match(rb"StuffIt \(c\)1997-.{4} Aladdin Systems, Inc\., http://www\.aladdinsys\.com/StuffIt/\r\n", h[:100], re.S) else None, "stuffit5"),
+    Format("StuffIt 5 (self-extracting)", 8192, lambda h, n: 0x1A000 if h[:2] == b"MZ" and h[4100:4104] == b"\x42\x03\xe8\x53" else None, "stuffit5"),
     Format("StuffIt split file", 100, _magic(b"\xb0\x56\0")),
     Format("StuffIt X", 10, _magic(b"StuffIt!", b"StuffIt?")),
     Format("BinHex", 8192, _anywhere(b"(This file must be converted with BinHex", 8192), "binhex"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
-from ...functions.codecs import compact_lzh, compact_rle
-from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, crc16, crc16_ccitt, rle90, unix_compress
+from ...functions.codecs import arsenic, compact_lzh, compact_rle
+from ...functions.kernels import LIMIT, Bits, Damaged, TooLarge, Unsupported, WrongPassword, crc16, crc16_ccitt, rc4, rle90, unix_compress
 from ..source import Source
 from .entry import Corrupt, Entry, mac_time
 
@@ -150,18 +151,12 @@ def stuffit(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
             def decode(_: bytes | None) -> bytes:
                 if method & 0x80:
                     raise Unsupported("StuffIt encryption")
-                data = src.need(start, packed)
-                if method & 15 == 0:
-                    return data
-                if method & 15 == 1:
-                    return rle90(data)
-                if method & 15 == 2:
-                    return unix_compress(b"\x1f\x9d\x8e" + data)[:size]
-                if method & 15 == 3:
-                    return _tree_coded(data, size)
-                raise Unsupported(STUFFIT.get(method & 15, f"method {method & 15}"))
-
-            return {"size": size, "packed": packed, "method": STUFFIT.get(method & 15, f"Method {method & 15}"), "offset": start, "encrypted": bool(method & 0x80) or None, "decode": decode, "check": lambda d: crc16(d) == crc}
+                data, told = _unstuffed(method & 15, src.need(start, packed), size)
+                seen[:] = [told]
+                return data
+
+            seen: list[int | None] = []
+            return {"size": size, "packed": packed, "method": STUFFIT.get(method & 15, f"Method {method & 15}"), "offset": start, "encrypted": bool(method & 0x80) or None, "decode": decode, "check": lambda d: _sound(d, seen, crc)}
 
         for e in _forks(path, part(body + rpacked, dsize, dpacked, dm, dcrc), part(body, rsize, rpacked, rm, rcrc), h[66:76], **shared):
             e.separators = "/"
@@ -169,6 +164,92 @@ def stuffit(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
         at = body + rpacked + dpacked
 
 
+def _unstuffed(method: int, data: bytes, size: int) -> tuple[bytes, int | None]:
+    """Content, and its CRC-32 if the method tells one."""
+    if method == 0:
+        return data, None
+    if method == 1:
+        return rle90(data), None
+    if method == 2:
+        return unix_compress(b"\x1f\x9d\x8e" + data)[:size], None
+    if method == 3:
+        return _tree_coded(data, size), None
+    if method == 15:
+        return arsenic(data, size)
+    raise Unsupported(STUFFIT.get(method, f"method {method}"))
+
+
+def _sound(data: bytes, told: list[int | None], crc: int) -> bool:
+    """By the CRC-32 of the content's stream, or by the CRC-16 of its header."""
+    return zlib.crc32(data) == told[0] if told and told[0] is not None else crc16(data) == crc
+
+
+def stuffit5(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
+    """Entries one after another, folders before what they hold, which names them by their place; the resource fork's
+    data come before those of the data fork."""
+    version, flags, _, _, left, first = src.get(">BBIIHI", base + 82)
+    if version != 5:
+        raise Corrupt("no such version")
+    at = base + 100 + (14 if flags & 0x10 else 0) + (4 if flags & 0x20 else 0)
+    lock = src.need(at + 1, src.need(at, 1)[0]) if flags & 0x80 else b""
+    at, folders = base + first, {}
+    while left > 0:
+        left -= 1
+        place = at - base
+        mark, version, head, kind, created, modified, _, _, above, n, _, dsize, dpacked, dcrc, dm, keyed = src.get(">IBxHxBIIIIIHHIIHxxBB", at)
+        if mark != 0xA5A5A5A5:
+            raise Corrupt("no entry here")
+        folder = bool(kind & 0x40)
+        if folder and dsize == 0xFFFFFFFF:
+            left, at = left + 1, at + 48
+            continue
+        p = at + 48
+        dkey = b"" if folder else src.need(p, keyed)
+        p += len(dkey)
+        title, p = src.need(p, n), p + n
+        note = b""
+        if p < at + head:
+            note = src.need(p + 4, src.get(">H", p)[0])
+            p += 4 + len(note)
+        marks = src.get(">H", p)[0]
+        finder, p = src.need(p + 4, 10), p + (36 if version == 1 else 32)
+        rsize = rpacked = rcrc = rm = 0
+        rkey = b""
+        if marks & 1:
+            rsize, rpacked, rcrc, rm, keyed = src.get(">IIHxxBB", p)
+            rkey = src.need(p + 14, keyed)
+            p += 14 + keyed
+        path = folders.get(above, b"") + title
+        shared = {"created": mac_time(created), "modified": mac_time(modified), "comment": note.decode("mac-roman") or None}
+        if folder:
+            folders[place] = path + b"/"
+            left += src.get(">H", at + 46)[0]
+            yield Entry(path, directory=True, encoding="mac-roman", **shared)
+            at = p
+            continue
+
+        def part(start: int, size: int, packed: int, method: int, crc: int, key: bytes) -> dict:
+            seen: list[int | None] = []
+
+            def decode(password: bytes | None) -> bytes:
+                data = src.need(start, packed)
+                if key:
+                    own = hashlib.md5(password or b"").digest()[:5]
+                    if password is None or hashlib.md5(own).digest()[:5] != lock:
+                        raise WrongPassword("a password is needed")
+                    data = rc4(data, own + key)
+                data, told = _unstuffed(method, data, size)
+                seen[:] = [told]
+                return data
+
+            return {"size": size, "packed": packed, "method": STUFFIT.get(method, f"Method {method}"), "offset": start, "encrypted": bool(key) or None, "decode": decode, "check": lambda d: _sound(d, seen, crc)}
+
+        for e in _forks(path, part(p + rpacked, dsize, dpacked, dm, dcrc, dkey), part(p, rsize, rpacked, rm, rcrc, rkey), finder, **shared):
+            e.separators = "/"
+            yield e
+        at = p + rpacked + dpacked
+
+
 def _tree_coded(data: bytes, size: int) -> bytes:
     bits = Bits(data)
 

@@ -1,5 +1,6 @@
 """Decompressors against small encoders of their own formats; the box has no archives of the programs that write these."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -7,7 +8,7 @@ import zlib
 import pytest
 
 from lading.functions import codecs, ppmd, rar
-from lading.functions.kernels import Bits, Damaged, Prefix, TooLarge, Unsupported
+from lading.functions.kernels import Bits, Damaged, Prefix, TooLarge, Unsupported, crc16, rc4
 from lading.sources.formats.dos import _Run
 from lading.sources.formats.sevenzip import _summed
 from lading.sources.reader import Options, rows_of
@@ -405,7 +406,7 @@ def test_noise_ends_in_an_error_or_in_bytes(seed):
     for run in (
         lambda: codecs.shrink(data, size), lambda: codecs.implode(data, size, 6), lambda: codecs.bcj2(data, data, data, data, size), lambda: codecs.lzx(data, size, 17),
         lambda: codecs.quantum([data], [size], 18), lambda: codecs.lh1(data, size), lambda: codecs.arj_fastest(data, size), lambda: codecs.arc_crunch(data, False), lambda: codecs.arc_crunch(data, True),
-        lambda: codecs.amiga_lzx(data, size), lambda: ppmd.seven_zip(b"\0" + data, 6, 1 << 22, size), lambda: rar.Rar3().decode(data, size), lambda: rar.Rar3().decode(b"\xa5\1" + data, size), lambda: rar.Rar5().decode(data, size),
+        lambda: codecs.amiga_lzx(data, size), lambda: codecs.arsenic(data, size)[0], lambda: ppmd.seven_zip(b"\0" + data, 6, 1 << 22, size), lambda: rar.Rar3().decode(data, size), lambda: rar.Rar3().decode(b"\xa5\1" + data, size), lambda: rar.Rar5().decode(data, size),
     ):
         try:
             assert isinstance(run(), bytes)
@@ -734,3 +735,123 @@ def test_films(packed):
     assert files[8][:4] == b"RIFF" and files[8][24:28] == struct.pack("<I", 44100) and files[8][-4:] == b"wave"
     assert files[9:] == [b"mp3", b"inner", b"main"]
     assert {r["status"] for r in rows} == {"ok"} and {r["compression"] for r in rows if r["name"].endswith("mp3")} == {"Zlib" if packed else "None"}
+
+
+class RangeWriter:
+    """The encoder for codecs._Ranges: what it holds is a number of 26 bits and as many as were shifted in."""
+
+    def __init__(self):
+        self.low, self.range, self.shifts = 0, 1 << 25, 0
+
+    def put(self, weights, symbol):
+        k = symbol - weights.first
+        unit, below = self.range // weights.total, sum(weights.each[:k])
+        self.low += unit * below
+        self.range = self.range - unit * below if below + weights.each[k] == weights.total else unit * weights.each[k]
+        weights.used(k)
+        while self.range <= 1 << 24:
+            self.range, self.low, self.shifts = self.range << 1, self.low << 1, self.shifts + 1
+
+    def number(self, weights, value, bits):
+        for i in range(bits):
+            self.put(weights, value >> i & 1)
+
+    def done(self):
+        n = 26 + self.shifts
+        return (self.low << -n % 8).to_bytes((n + 7) // 8, "big")
+
+
+def arsenic_packed(data, disturbed=0):
+    w, plain, kinds = RangeWriter(), codecs._Weights(0, 2, 1, 256), codecs._Weights(0, 11, 8, 1024)
+    classes = [codecs._Weights(2 << k, 2 << k, step, 1024) for k, step in enumerate((8, 4, 4, 4, 2, 2, 1))]
+    for b in b"As":
+        w.number(plain, b, 8)
+    w.number(plain, 1, 4)
+    w.put(plain, 0 if data else 1)
+    parts = [data[k : k + 700] for k in range(0, len(data), 700)]
+    for n, part in enumerate(parts):
+        runs, k = bytearray(), 0
+        while k < len(part):
+            same = 1
+            while same < 259 and k + same < len(part) and part[k + same] == part[k]:
+                same += 1
+            # zeros that begin a block count as seen, but none of a run yet
+            runs += part[k : k + 1] * min(same, 4) + (bytes([same - 4]) if same >= 4 else b"")
+            k += same
+        runs = bytes(runs)
+        rows = sorted(range(len(runs)), key=lambda i: runs[i:] + runs[:i])
+        w.put(plain, disturbed)
+        w.number(plain, rows.index(0), 10)
+        order, zeros = list(range(256)), 0
+
+        def flush():
+            nonlocal zeros
+            while zeros:
+                w.put(kinds, (zeros - 1) % 2)
+                zeros = (zeros - 1) // 2
+
+        for i in rows:
+            at = order.index(runs[i - 1])
+            order.insert(0, order.pop(at))
+            if not at:
+                zeros += 1
+                continue
+            flush()
+            if at == 1:
+                w.put(kinds, 2)
+            else:
+                w.put(kinds, at.bit_length() + 1), w.put(classes[at.bit_length() - 2], at)
+        flush()
+        w.put(kinds, 10)
+        for x in (kinds, *classes):
+            x.reset()
+        w.put(plain, n == len(parts) - 1)
+    if data:
+        w.number(plain, zlib.crc32(data), 32)
+    return w.done()
+
+
+def test_arsenic():
+    data = TEXT + b"\0" * 9 + b"z" * 700 + bytes(3) + random.Random(3).randbytes(500)
+    assert codecs.arsenic(arsenic_packed(data), len(data)) == (data, zlib.crc32(data))
+    assert codecs.arsenic(arsenic_packed(b""), 0) == (b"", 0)
+    with pytest.raises(Unsupported):
+        codecs.arsenic(arsenic_packed(data, 1), len(data))
+    with pytest.raises(Damaged):
+        codecs.arsenic(arsenic_packed(data), len(data) - 1)
+
+
+def test_stuffit_5():
+    password = hashlib.md5(b"secret").digest()[:5]
+
+    def entry(title, above, data, resource=b"", method=0, kind=0, note=b"", key=b"", packed=None, many=None):
+        packed = data if packed is None else packed
+        head = 48 + len(key) + len(title) + (4 + len(note) if note else 0)
+        tail = struct.pack(">H", many) if many is not None else bytes([method, len(key)])
+        out = struct.pack(">IBxHxBIIIIIHHIIHxx", 0xA5A5A5A5, 1, head, kind, 3_000_000_000, 3_000_000_001, 0, 0, above, len(title), 0, len(data), len(packed), crc16(data)) + tail + key + title
+        out += (struct.pack(">HH", len(note), 0) + note if note else b"") + struct.pack(">HH4s4sH22x", bool(resource), 0, b"TEXT", b"ttxt", 256)
+        if resource:
+            out += struct.pack(">IIHxxBB", len(resource), len(resource), crc16(resource), 0, 0)
+        return out + resource + packed
+
+    def archive(prefix=b""):
+        lead = b"StuffIt (c)1997-1998 Aladdin Systems, Inc., http://www.aladdinsys.com/StuffIt/\r\n\0\0"
+        parts = [entry(b"folder", 0, b"", kind=0x40, many=2)]
+        parts.append(entry(b"in", 106, TEXT, b"fork", note=b"said"))
+        parts.append(struct.pack(">IBxHxBIIIIIHHIIHxx", 0xA5A5A5A5, 1, 48, 0x40, 0, 0, 0, 0, 106, 0, 0, 0xFFFFFFFF, 0, 0) + b"\0\0")
+        parts.append(entry(b"sorted", 106, TEXT, method=15, packed=arsenic_packed(TEXT)))
+        parts.append(entry(b"locked", 0, b"hidden", kind=0x20, key=b"12345", packed=rc4(b"hidden", password + b"12345")))
+        head = struct.pack(">BBIIHIH", 5, 0x80, 0, 0, 2, 106, 0) + bytes([5]) + hashlib.md5(password).digest()[:5]
+        return prefix + lead + head + b"".join(parts)
+
+    whole = archive()
+    rows = list(rows_of(Source(whole), "x.sit", Options(content=True)))
+    assert [(r["name"], r["is_resource_fork"], r["status"], r["content"]) for r in rows] == [
+        ("folder", None, "not_tested", None), ("folder/in", None, "ok", TEXT), ("folder/in", True, "ok", b"fork"), ("folder/sorted", None, "ok", TEXT), ("locked", None, "password", None),
+    ]
+    assert rows[1]["comment"] == "said" and dict(rows[1]["extras"])["FileType"] == "TEXT" and rows[3]["compression"] == "Arsenic" and rows[0]["archive_status"] is None
+    assert [r["content"] for r in rows_of(Source(whole), "x.sit", Options(content=True, password="secret"))][-1] == b"hidden"
+    exe = archive(b"MZ".ljust(4100, b"\0") + b"\x42\x03\xe8\x53" + bytes(0x1A000 - 4104))
+    assert [(r["format"], r["name"]) for r in rows_of(Source(exe), "x.exe", Options())][1] == ("StuffIt 5 (self-extracting)", "folder/in")
+    changed = [r["status"] for r in rows_of(Source(whole.replace(b"fork", b"fark")), "x.sit", Options(test=True))]
+    assert changed == ["not_tested", "ok", "checksum", "ok", "password"]
