@@ -129,6 +129,10 @@ def _now(h: bytes, name: str) -> int | None:
     return 0 if len(h) >= 24 and h[:2] == b"\0\2" and 0 < int.from_bytes(h[2:4], "big") < 0x4000 and name.lower().endswith((".nc", ".now")) else None
 
 
+def _crunch(h: bytes, name: str) -> int | None:
+    return 0 if re.match(rb"\x76[\xfd\xfe][^\0]+\0[\x10-\x2f]{2}", h[:1024]) else None
+
+
 def _never(h: bytes, name: str) -> int | None:
     return None
 
@@ -190,7 +194,7 @@ FORMATS: tuple[Format, ...] = (
     Format("ARC", 0x1D, _arc, "arc"),
     Format("Self-extracting ARC", 0x10000, lambda h, n: next((m.start() for m in re.finditer(rb"\x1a[\1-\x09][ -~]{1,12}\0", h[:0x10000]) if h[:2] == b"MZ" and n.lower().endswith((".exe", ".com"))), None), "arc"),
     Format("Squeeze", 1024, _magic(b"\x76\xff"), "squeezed"),
-    Format("Crunch", 1024, _magic(b"\x76\xfe", b"\x76\xfd")),
+    Format("Crunch", 1024, _crunch, "crunched"),
     Format("LBR", 128, lambda h, n: 0 if len(h) >= 128 and h[:14] == b"\0" + b" " * 11 + b"\0\0" and h[14:16] != b"\0\0" else None, "lbr"),
     Format("LZMA_Alone", 13, _lzma_alone, "lzma_alone"),
     Format("Cpio", 6, lambda h, n: 0 if h[:6] in (b"070707", b"070701", b"070702") or h[:2] in (b"\x71\xc7", b"\xc7\x71") else None, "cpio"),

@@ -1,4 +1,4 @@
-"""Files that are one compressed stream: Gzip, Bzip2, XZ, LZMA_Alone, Compress, Squeeze."""
+"""Files that are one compressed stream: Gzip, Bzip2, XZ, LZMA_Alone, Compress, Squeeze, Crunch."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ...functions.kernels import LIMIT, Damaged, TooLarge, byte_sum, expand, rle90, squeeze, unix_compress
+from ...functions.kernels import LIMIT, Damaged, TooLarge, Unsupported, byte_sum, expand, rle90, squeeze, unix_compress
 from ..source import Source
 from .entry import Entry, unix_time
 
@@ -125,3 +125,19 @@ def squeezed(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
             raise Damaged(str(e)) from e
 
     yield Entry(src.at(4, stop - 4), packed=len(body), method="Squeeze", decode=decode, check=lambda data: byte_sum(data) == total)
+
+
+def crunched(src: Source, name: str, base: int = 0) -> Iterator[Entry]:
+    """CP/M crunch, listed only: a name of three letters behind its dot, a comment in brackets, then four bytes of versions."""
+    stop = src.find(b"\0", 2)
+    kind, head = src.need(1, 1)[0], src.need(2, stop - 2)
+    revision, version, unchecked, _ = src.need(stop + 1, 4)
+    found = re.match(rb"([^.]*\..{0,3})(?: \[(.*)\]$)?", head, re.S)
+    title, note = (found[1].rstrip(b" "), found[2]) if found else (head, None)
+    method = f"{'LZW' if kind == 0xFE else 'LZHUF'} {'1.0' if version & 0xF0 == 0x10 else '2.0'}"
+
+    def decode(_: bytes | None) -> bytes:
+        raise Unsupported(method)
+
+    extras = {"CrunchType": str(kind), "CrunchReferenceRevision": str(revision), "CrunchSignificantRevision": str(version), "CrunchErrorDetection": str(unchecked)}
+    yield Entry(title, packed=src.size - stop - 7, method=method, archive=title.lower().endswith(b".lbr") or None, comment=note.decode("latin-1") if note else None, offset=stop + 5, separators="", extras=extras, decode=decode)

@@ -20,7 +20,7 @@ from .source import Guarded, Slice, Source
 
 PARSERS = {
     "zips": {"zip": "parse"}, "tar": {"tar": "parse"}, "sevenzip": {"sevenzip": "parse"},
-    "streams": {k: k for k in ("gzip", "bzip2", "xz", "lzma_alone", "compress", "squeezed")},
+    "streams": {k: k for k in ("gzip", "bzip2", "xz", "lzma_alone", "compress", "squeezed", "crunched")},
     "unix": {k: k for k in ("ar", "cpio", "rpm", "xar", "sar", "nsa", "lbr", "split", "warc", "iso")},
     "mac": {k: k for k in ("macbinary", "applesingle", "binhex", "packit", "stuffit", "stuffit5", "compact_pro")},
     "documents": {"pdf": "pdf"}, "flash": {"swf": "swf"}, "amiga": {"amiga_lzx": "amiga_lzx"},

@@ -855,3 +855,12 @@ def test_stuffit_5():
     assert [(r["format"], r["name"]) for r in rows_of(Source(exe), "x.exe", Options())][1] == ("StuffIt 5 (self-extracting)", "folder/in")
     changed = [r["status"] for r in rows_of(Source(whole.replace(b"fork", b"fark")), "x.sit", Options(test=True))]
     assert changed == ["not_tested", "ok", "checksum", "ok", "password"]
+
+
+def test_crunch_is_listed():
+    for head, title, note, inner in ((b"NOTES.TXT [a comment]", "NOTES.TXT", "a comment", None), (b"A.C  ", "A.C", None, None), (b"ALL.LBR", "ALL.LBR", None, True), (b"NAME", "NAME", None, None)):
+        for kind, version, method in ((0xFE, 0x1F, "LZW 1.0"), (0xFE, 0x20, "LZW 2.0"), (0xFD, 0x20, "LZHUF 2.0")):
+            whole = bytes([0x76, kind]) + head + b"\0" + bytes([0x20, version, 0, 0]) + b"codes" + b"\1\2"
+            (row,) = rows_of(Source(whole), "x.czc", Options(test=True))
+            assert (row["format"], row["name"], row["comment"], row["is_archive"], row["compression"], row["compressed_size"], row["status"]) == ("Crunch", title, note, inner, method, 5, "unsupported")
+    assert [r["archive_status"] for r in rows_of(Source(b"\x76\xfeNAME\0\1\1\0\0"), "x", Options())] == ["unknown_format"]
