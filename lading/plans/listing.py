@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import carets, flag, permissions, ratio, short_size
+from ..functions.columns import carets, flag, permissions, ratio, short_size, utc_minute
 
 #: Labels of the key and value listing, in their order.
 LABELS = {"name": "Name", "comment": "Comment", "file_size": "Size", "compressed_size": "Compressed size", "compression": "Compression type", "is_directory": "Is a directory", "is_link": "Is a link", "link_destination": "Link destination", "is_encrypted": "Is encrypted", "mtime": "Last modified", "created": "Created", "posix_permissions": "Unix permissions", "user_name": "User", "group_name": "Group"}
@@ -24,10 +24,10 @@ def medium_line() -> Column:
 
 
 def long_line(code: Column) -> Column:
-    """Index, flags (directory, resource fork, link, encrypted, corrupted), size, ratio, method code, date and name."""
+    """Index, flags (directory, resource fork, link, encrypted, corrupted), size, ratio, method code, date in UTC and name."""
     flags = F.concat(*(F.when(flag(F.col(c)), letter).otherwise("-") for c, letter in (("is_directory", "D"), ("is_resource_fork", "R"), ("is_link", "L"), ("is_encrypted", "E"), ("is_corrupted", "@"))))
     saved = F.coalesce(F.format_string("%.1f%%", ratio(F.col("file_size"), F.col("compressed_size"))), F.lit("-----"))
-    when = F.coalesce(F.date_format(F.coalesce("mtime", "created", "atime"), "yyyy-MM-dd HH:mm"), F.lit("----------------"))
+    when = F.coalesce(utc_minute(F.coalesce("mtime", "created", "atime")), F.lit("----------------"))
     return F.concat_ws("  ", F.col("idx").cast("string"), flags, F.coalesce(F.col("file_size").cast("string"), F.lit("?")), saved, code, when, F.concat(short_line(), F.coalesce(F.concat(F.lit(" -> "), "link_destination"), F.lit(""))))
 
 

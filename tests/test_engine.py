@@ -177,6 +177,17 @@ def test_names_split_by_what_decodes():
     assert split_raw(b"/a/b", "ascii") == ["/", "a", "b"]
 
 
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+def test_long_lines_are_the_same_in_any_time_zone(spark, sf_dir, duck, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = sorted(map(tuple, QUERIES["long_lines"](spark, sf_dir).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == sorted(duck.sql(SQL["long_lines"]).fetchall())
+
+
 def test_sizes_of_ten_megabytes_and_more(spark, tmp_path):
     path = tmp_path / "orders.parquet"
     con = duckdb.connect()
