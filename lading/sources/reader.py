@@ -58,6 +58,12 @@ class Options:
     until: Callable[[dict[str, Any]], bool] | None = None
 
 
+#: Rows, and bytes of their contents, that a batch of entries has before it is handed on.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
+
+_BLANK = {f.split()[0]: None for f in re.split(r", (?=[a-z_]+ )", ENTRIES)}
+
+
 def _parser(name: str):
     module, function = _WHERE[name]
     return getattr(import_module(f"lading.sources.formats.{module}"), function)
@@ -113,7 +119,7 @@ def rows_of(src: Source, archive: str, options: Options, level: int = 0) -> Iter
     if not level:
         src = Guarded(src)
     found = detect(src.at(0, HEADER), archive)
-    blank = {f.split()[0]: None for f in re.split(r", (?=[a-z_]+ )", ENTRIES)} | {"archive": archive, "level": level}
+    blank = _BLANK | {"archive": archive, "level": level}
     if found is None:
         yield blank | {"archive_status": "unknown_format"}
         return
@@ -175,24 +181,24 @@ def rows_of(src: Source, archive: str, options: Options, level: int = 0) -> Iter
 
 def list_entries(files: DataFrame, options: Options | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """The entries of archives in a DataFrame's columns (as of the binaryFile source). One archive is read by one task;
-    without content or test only headers are looked at."""
+    without content or test only headers are looked at. Entries of many small archives share a batch."""
     chosen = options or Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(fixed)
+        rows, size = [], 0
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, size = [], 0
                 for row in rows_of(Source(data.as_py() or b""), name or "", chosen):
                     rows.append(row)
                     size += len(row["content"] or b"")
-                    if len(rows) >= 5000 or size > 1 << 26:
+                    if len(rows) >= BATCH_ROWS or size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     fixed = files.sparkSession.createDataFrame([], ENTRIES).schema
     return files.select(F.col(path), F.col(content)).mapInArrow(run, ENTRIES)

@@ -198,3 +198,31 @@ def test_sizes_of_ten_megabytes_and_more(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
     sizes = spark.createDataFrame([(12_340_000,), (123_400_000,), (1_234_000_000,)], "n long")
     assert [r[0] for r in sizes.select(C.short_size(F.col("n"))).collect()] == ["12.3 MB", "123 MB", "1.23 GB"]
+
+
+def test_forked_files_of_one_row_group_are_many_tasks(spark, sf_dir):
+    assert spark.read.parquet(f"{sf_dir}/customer.parquet").rdd.getNumPartitions() == 1
+    with_forks = QUERIES["forked_files"](spark, sf_dir)
+    assert with_forks.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_entries_of_small_archives_share_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    made = []
+
+    class Counted:
+        @staticmethod
+        def from_pylist(rows, schema):
+            made.append(len(rows))
+            return pa.RecordBatch.from_pylist(rows, schema)
+
+    files = spark.createDataFrame([("a.Z", bytearray(b"\x1f\x9d\x8ca\0"))], "path string, content binary")
+    kept = {}
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema: kept.update(f=f))
+    list_entries(files, Options(content=True))
+    f = kept["f"]
+    monkeypatch.setitem(f.__globals__, "pa", type("pa", (), {"RecordBatch": Counted}))
+    batch = pa.RecordBatch.from_pylist([{"path": f"{i}.Z", "content": b"\x1f\x9d\x8ca\0"} for i in range(2500)])
+    assert sum(b.num_rows for b in f(iter([batch, batch]))) == 5000
+    assert made == [1000] * 5
