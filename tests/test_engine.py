@@ -226,3 +226,21 @@ def test_entries_of_small_archives_share_batches(spark, monkeypatch):
     batch = pa.RecordBatch.from_pylist([{"path": f"{i}.Z", "content": b"\x1f\x9d\x8ca\0"} for i in range(2500)])
     assert sum(b.num_rows for b in f(iter([batch, batch]))) == 5000
     assert made == [1000] * 5
+
+
+def test_streams_of_one_row_group_are_many_tasks(spark, sf_dir):
+    assert spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() == 1
+    streams = QUERIES["Z_streams"](spark, sf_dir)
+    assert streams.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_compress_streams_of_any_width_come_back():
+    import random
+
+    from lading.functions.kernels import unix_compress
+    from lading.plans.pack import ONE
+
+    chance = random.Random(3)
+    for n in (0, 1, 2, 255, 256, 257, 600, 1300, 2600, 9000, 40000):
+        for data in (chance.randbytes(n), b"ab" * n, bytes(chance.choices(b"abcd ", k=n))):
+            assert unix_compress(ONE["Z"](data)) == data
