@@ -163,11 +163,12 @@ def there(entries: DataFrame, listing: DataFrame, path: str) -> DataFrame:
 
 
 def tree_paths(nodes: DataFrame, depth: int, key: str = "id", above: str = "parent", name: str = "name") -> DataFrame:
-    """Paths of nodes that know their parent, level by level; a bound on the depth ends cycles."""
+    """Paths of nodes that know their parent, level by level; a bound on the depth ends cycles. All levels merge with one
+    exchange of the nodes: these aren't broadcast, which would have each task hold them whole, level after level."""
     level = nodes.where(F.col(above).isNull()).select(F.col(key).alias("id"), F.col(name).alias("path"), F.lit(0).alias("depth"))
     out = level
     for k in range(1, depth + 1):
-        level = nodes.join(level.select(F.col("id").alias(above), F.col("path").alias("_p")), above).select(F.col(key).alias("id"), F.concat_ws("/", "_p", name).alias("path"), F.lit(k).alias("depth"))
+        level = nodes.join(level.select(F.col("id").alias(above), F.col("path").alias("_p")).hint("merge"), above).select(F.col(key).alias("id"), F.concat_ws("/", "_p", name).alias("path"), F.lit(k).alias("depth"))
         out = out.unionByName(level)
     return out
 

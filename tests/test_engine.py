@@ -250,3 +250,10 @@ def test_locked_archives_are_packed_once_for_both_passwords(spark, sf_dir):
     rows = QUERIES["password_entries"](spark, sf_dir)
     rows.collect()
     assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_are_not_broadcast(spark, sf_dir):
+    rows = QUERIES["tree_paths"](spark, sf_dir)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
