@@ -257,3 +257,12 @@ def test_trees_are_not_broadcast(spark, sf_dir):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_packing_has_more_tasks_for_more_bytes(spark, sf_dir, monkeypatch):
+    from lading.plans import pack
+
+    films = QUERIES["film_pictures"](spark, sf_dir)
+    assert films.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(pack, "PART", 1 << 14)
+    assert QUERIES["film_pictures"](spark, sf_dir).rdd.getNumPartitions() > 8
